@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs
+from codelode.llm import docpairs, splitting
 from codelode.plans.registry import Registry
 from codelode.session import table
 
@@ -28,3 +28,23 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p3_pairs")
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_pairs(spark, sf_dir)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split(table(spark, sf_dir, "chunks_v2", "chunk_id", "raw_content", "start_line"))
+
+
+@LLM.add(
+    "p4_found",
+    """
+SELECT DISTINCT chunk_id, CASE WHEN list_max(list_transform(string_split(raw_content, chr(10)), lambda x: length(x) - CASE WHEN ends_with(x, chr(13)) THEN 1 ELSE 0 END)) <= 800 THEN 'line' ELSE 'inside' END AS cut
+FROM chunks_v2 WHERE length(raw_content) > 800
+""",
+)
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).where("piece_no = 0").select("chunk_id", "cut").distinct()
+
+
+@LLM.add("p4_pieces")
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir)
