@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs, splitting
+from codelode.llm import docpairs, splitting, tokens
 from codelode.plans.registry import Registry
 from codelode.session import table
 
@@ -48,3 +48,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p4_pieces")
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir)
+
+
+@LLM.add("p6_ids")
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -36,8 +36,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The published pattern that cuts a text into words for this vocabulary (a fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: Characters from which a text is cut into pieces, and the size of the pieces.
-LONG = 1 << 16
-PIECE = 1 << 14
+LONG = 1 << 14
+PIECE = 1 << 13
 
 Word = tuple[int, int, list[int]]  # start and end in the text, and the ids of its tokens
 
@@ -125,7 +125,6 @@ def _parts(path: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for batch in batches:
-            # a piece sees the next character or two, so that its last words end where they do in the text
             found = [words(t, at, own) for t, at in zip(batch.piece, batch.start)]
             yield pd.DataFrame({
                 "key": batch.key, "start": batch.start, "piece": batch.piece,
@@ -158,10 +157,9 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     short = rows.where(size < long).select(id_column, _whole(path)("__text").alias("ids"))
     # One group per long text: its ids are one row of the result in any case. Equal texts are encoded once.
     large = rows.where(size >= long).withColumn("key", F.sha2("__text", 256))
-    texts = large.groupBy("key").agg(F.first("__text").alias("__text"), F.collect_list(F.struct(F.col(id_column).alias("id"))).alias("owners"))
+    texts = large.groupBy("key").agg(F.first("__text").alias("__text"))
     cuts = texts.select("key", F.col("__text"), F.explode(F.sequence(F.lit(0), F.length("__text") - 1, F.lit(piece))).alias("start"))
     parts = cuts.select("key", "start", F.substring("__text", F.col("start") + 1, F.lit(piece)).alias("piece"))
     found = parts.repartition("key", "start").mapInPandas(_parts(path), "key string, start int, piece string, ends array<int>, sizes array<int>, tokens array<int>")
     joined = found.groupBy("key").applyInPandas(_assemble(path), "key string, ids array<int>")
-    owners = texts.select("key", F.explode("owners").alias("owner")).select("key", F.col("owner.id").alias(id_column))
-    return short.unionByName(owners.join(joined, "key").select(id_column, "ids"))
+    return short.unionByName(large.select(id_column, "key").join(joined, "key").select(id_column, "ids"))
