@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs, splitting, tokens
+from codelode.llm import docpairs, language, splitting, tokens
 from codelode.plans.registry import Registry
 from codelode.session import table
 
@@ -53,3 +53,13 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@LLM.add("p8_found")
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_labels(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "lang_samples", "lang", "text"))
+
+
+@LLM.add("p8_segments")
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "lang_samples", "lang", "text"))
