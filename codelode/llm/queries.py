@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs, language, splitting, tokens
+from codelode.llm import docpairs, language, mixing, splitting, tokens
 from codelode.plans.registry import Registry
-from codelode.session import table
+from codelode.session import cut, table
 
 LLM = Registry()
 QUERIES = LLM.queries
@@ -63,3 +63,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p8_segments")
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "lang_samples", "lang", "text"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    # the sizes are read by the totals and by the sampling; encoding the corpus twice would cost more than writing them
+    sizes = cut(mixing.token_sizes(table(spark, sf_dir, "documents", "doc_id", "source", "text")))
+    plan = mixing.plans(sizes, table(spark, sf_dir, "mixture_targets", "mix_id", "source", "target_share", "max_repeats", "budget_ratio"))
+    return mixing.mix(sizes, plan), plan
+
+
+@LLM.add("p7_mixture")
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0]
+
+
+@LLM.add("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(*_mixture(spark, sf_dir))
