@@ -5,8 +5,9 @@ budget. A source that must be used 2.3 times gives each of its documents twice,
 probability 0.3. That fraction is drawn by the cube method: probabilities move through the null space of
 the constraints (the sum of tokens and the number of documents), so that both sums stay what they are,
 until all but two of a block are decided. The undecided of all blocks are put into blocks again, and so
-on, until one block per source is left, whose last two documents are decided by dropping one constraint
-after the other (the landing).
+on, until one block per source is left. Its last two documents, with a reserve of ``RESERVE`` others, are
+decided by trying all their subsets (the landing): a very large document is often among the last two, and
+the reserve makes up for it.
 
 Blocks are made by a hash of doc_id and hold about ``BLOCK`` documents, also those of a source that has a
 third of all rows; each round leaves two undecided per block, so the number of rounds is the logarithm of
@@ -32,6 +33,8 @@ from codelode.llm.tokens import encode_corpus
 from codelode.session import broadcast_if_small, cut
 
 BLOCK = 4096
+#: Documents per source, taken by hash, that are left for the landing besides the last two.
+RESERVE = 14
 _EPS = 1e-9
 
 
@@ -64,13 +67,16 @@ def flight(p: list[float], sizes: list[float], draws: np.random.Generator) -> li
 
 
 def landing(p: list[float], sizes: list[float], open_units: list[int], draws: np.random.Generator) -> None:
-    """Decides the last units: the number of documents is given up first, then the tokens."""
-    while len(open_units) > 1:
-        i, j = open_units[:2]
-        _move(p, [i, j], [sizes[j], -sizes[i]] if sizes[i] or sizes[j] else [1.0, -1.0], draws.random())
-        open_units = [k for k in open_units if 0 < p[k] < 1]
-    for i in open_units:
-        p[i] = 1.0 if draws.random() < p[i] else 0.0
+    """Decides the last units: of all their subsets, the one that keeps both sums best, tokens before documents."""
+    if not open_units:
+        return
+    odds, own = np.array([p[i] for i in open_units]), np.array([sizes[i] for i in open_units])
+    subsets = (np.arange(1 << len(open_units))[:, None] >> np.arange(len(open_units))) & 1
+    tokens = np.abs(subsets @ own - odds @ own) / max(1.0, own.mean())
+    number = np.abs(subsets.sum(axis=1) - odds.sum())
+    best = subsets[np.argmin(tokens + 0.01 * number + 1e-6 * draws.random(len(subsets)))]
+    for i, x in zip(open_units, best):
+        p[i] = float(x)
 
 
 _UNITS = "mix_id string, source string, doc_id long, tokens long, base int, p double"
@@ -78,13 +84,14 @@ _UNITS = "mix_id string, source string, doc_id long, tokens long, base int, p do
 
 def _round(last: bool):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # large documents are decided first, so that what is left to the landing is small
-        group = group.sort_values(["tokens", "order", "doc_id"], ascending=[False, True, True])
+        group = group.sort_values(["order", "doc_id"])
         draws = np.random.default_rng(zlib.crc32(repr((last, *key)).encode()))
         p, sizes = group.p.tolist(), group.tokens.astype(float).tolist()
-        left = flight(p, sizes, draws)
+        kept = min(RESERVE, len(p)) if last else 0
+        left = [kept + i for i in flight(moved := p[kept:], sizes[kept:], draws)]
+        p[kept:] = moved
         if last:
-            landing(p, sizes, left, draws)
+            landing(p, sizes, [i for i in range(kept) if 0 < p[i] < 1] + left, draws)
         return group.assign(p=p)[["mix_id", "source", "doc_id", "tokens", "base", "p"]]
 
     return run
