@@ -88,7 +88,8 @@ def _round(last: bool):
         draws = np.random.default_rng(zlib.crc32(repr((last, *key)).encode()))
         p, sizes = group.p.tolist(), group.tokens.astype(float).tolist()
         kept = min(RESERVE, len(p)) if last else 0
-        left = [kept + i for i in flight(moved := p[kept:], sizes[kept:], draws)]
+        moved = p[kept:]
+        left = [kept + i for i in flight(moved, sizes[kept:], draws)]
         p[kept:] = moved
         if last:
             landing(p, sizes, [i for i in range(kept) if 0 < p[i] < 1] + left, draws)
