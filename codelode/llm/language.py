@@ -244,12 +244,13 @@ def languages(found: DataFrame, sure: float = SURE) -> DataFrame:
 
     A language counts if a sentence is surely in it; if none is sure, the one with most letters does.
     """
-    each = found.groupBy("doc_id", "label", "lang").agg(F.sum("letters").alias("letters"), F.max("confidence").alias("confidence"), F.countDistinct("segment_no").alias("n"))
-    per_doc = each.groupBy("doc_id", "label").agg(F.sum("letters").alias("total"), F.max(F.struct("letters", "confidence", "lang")).alias("top"))
+    each = found.groupBy("doc_id", "label", "lang").agg(F.sum("letters").alias("letters"), F.max("confidence").alias("confidence"))
+    # at most as many entries as there are languages
+    own = each.groupBy("doc_id", "label").agg(F.sum("letters").alias("total"), F.collect_list(F.struct("letters", "confidence", "lang")).alias("own"))
+    top = F.array_max("own")["lang"]
     return (
-        each.join(per_doc, (each.doc_id.eqNullSafe(per_doc.doc_id)) & each.label.eqNullSafe(per_doc.label))
-        .where((each.confidence >= sure) | (each.lang == F.col("top.lang")))
-        .select(each.doc_id, each.label, each.lang, each.confidence, (each.letters / F.col("total")).alias("share"))
+        own.select("doc_id", "label", "total", F.explode(F.filter("own", lambda x: (x["confidence"] >= sure) | (x["lang"] == top))).alias("x"))
+        .select("doc_id", "label", "x.lang", "x.confidence", (F.col("x.letters") / F.col("total")).alias("share"))
     )
 
 

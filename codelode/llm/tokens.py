@@ -160,6 +160,8 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     texts = large.groupBy("key").agg(F.first("__text").alias("__text"))
     cuts = texts.select("key", F.col("__text"), F.explode(F.sequence(F.lit(0), F.length("__text") - 1, F.lit(piece))).alias("start"))
     parts = cuts.select("key", "start", F.substring("__text", F.col("start") + 1, F.lit(piece)).alias("piece"))
-    found = parts.repartition("key", "start").mapInPandas(_parts(path), "key string, start int, piece string, ends array<int>, sizes array<int>, tokens array<int>")
+    # with a number, as partitions that are small in bytes would be put together, though each is seconds of work
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = parts.repartition(tasks, "key", "start").mapInPandas(_parts(path), "key string, start int, piece string, ends array<int>, sizes array<int>, tokens array<int>")
     joined = found.groupBy("key").applyInPandas(_assemble(path), "key string, ids array<int>")
     return short.unionByName(large.select(id_column, "key").join(joined, "key").select(id_column, "ids"))
