@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs, language, mixing, splitting, tokens
+from codelode.llm import docpairs, handwritten, language, mixing, splitting, tokens
 from codelode.plans.registry import Registry
 from codelode.session import cut, table
 
@@ -80,3 +80,19 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @LLM.add("p7_report")
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(*_mixture(spark, sf_dir))
+
+
+def _not_handwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "file_hashes", "repo_id", "file_path", "size_bytes", "last_modified")
+    chunks = table(spark, sf_dir, "chunks_v2", "chunk_id", "repo_id", "file_path", "raw_content", "language", "chunk_type", "start_line")
+    return handwritten.judge(files, chunks, table(spark, sf_dir, "repo_dependencies", "repo_id", "depends_on_repo_id"))
+
+
+@LLM.add("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _not_handwritten(spark, sf_dir).select("repo_id", "file_path")
+
+
+@LLM.add("p2_reasons")
+def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _not_handwritten(spark, sf_dir)
