@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.llm import docpairs, handwritten, language, mixing, splitting, tokens
+from codelode.llm import docpairs, handwritten, language, mixing, similar, splitting, tokens
 from codelode.plans.registry import Registry
 from codelode.session import cut, table
 
@@ -14,6 +14,27 @@ QUERIES = LLM.queries
 ORACLE_SQL = LLM.sql
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.vectors(table(spark, sf_dir, "chunks_v2", "chunk_id", "sig_embedding_json", "body_embedding_json"))
+
+
+@LLM.add("p1_found")
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = similar.close_pairs(_vectors(spark, sf_dir), 0.945)
+    return found.select("vec", F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+@LLM.add("p1_neighbours")
+def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.neighbours(_vectors(spark, sf_dir))
+
+
+@LLM.add("p1_recall")
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return similar.recall(rows, similar.neighbours(rows))
+
+
 def _doc_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "symbols", "symbol_id", "repo_id", "file_path", "name", "kind", "line_number", "docstring", "parent_symbol", "indexed_at")
     chunks = table(spark, sf_dir, "chunks_v2", "chunk_id", "repo_id", "file_path", "symbol_name", "language", "start_line", "raw_content")
