@@ -1,6 +1,6 @@
 """All core queries; importing the modules registers them."""
 
-from codelode.plans import integrity  # noqa: F401
+from codelode.plans import integrity, search  # noqa: F401
 from codelode.plans.registry import CORE
 
 QUERIES = CORE.queries
