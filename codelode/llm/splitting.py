@@ -2,8 +2,8 @@
 
 Each position of a text has a boundary strength (blank lines, starts of top-level blocks, line ends,
 ends of statements, white space, none). A sparse table answers in constant time which position of a
-window is the strongest; ties go to the right. The next piece starts by stepping back by the overlap, to
-the strongest boundary there.
+window is the strongest; ties go to the right. The next piece starts by stepping back by the overlap: at
+the strongest boundary of those last characters, or if there is none, by the whole overlap.
 
 A text is scanned in blocks, so that memory stays flat for very long ones. Rows are independent of each
 other; the shuffle that removes repeated rows also spreads them, as a file of the input may hold mostly
@@ -117,11 +117,12 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, block: int = B
             low, high = max(0, start - overlap), min(n, start + block)
             # one character and line more on both sides would only change strengths outside the windows that are asked for
             left = max(0, low - limit)
-            table = RangeMax(strengths(codes[left : min(n, high + limit)])[low - left : high - left + 1])
+            values = strengths(codes[left : min(n, high + limit)])[low - left : high - left + 1]
+            table = RangeMax(values)
         cut = low + table.best(start + limit // 2 - low, start + limit - low)
-        back = low + table.best(max(cut - overlap, start + 1) - low, cut - low)
         out.append((start, cut))
-        start = back
+        back = max(cut - overlap, start + 1)
+        start = back + int(np.argmax(values[back - low : max(cut, back + 1) - low]))
 
 
 def _cut(limit: int, overlap: int):

@@ -152,9 +152,9 @@ def _assemble(path: str | None):
 
 def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", path: str | None = None, long: int = LONG, piece: int = PIECE) -> DataFrame:
     """(id, ids): one row per document, with the ids of its text."""
-    rows = documents.select(F.col(id_column), F.col(text_column).alias("__text"))
+    rows = documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
     size = F.coalesce(F.length("__text"), F.lit(0))
-    short = rows.where(size < long).select(id_column, _whole(path)("__text").alias("ids"))
+    short = rows.where(size < long).select("__id", _whole(path)("__text").alias("ids"))
     # One group per long text: its ids are one row of the result in any case. Equal texts are encoded once.
     large = rows.where(size >= long).withColumn("key", F.sha2("__text", 256))
     texts = large.groupBy("key").agg(F.first("__text").alias("__text"))
@@ -164,4 +164,4 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = parts.repartition(tasks, "key", "start").mapInPandas(_parts(path), "key string, start int, piece string, ends array<int>, sizes array<int>, tokens array<int>")
     joined = found.groupBy("key").applyInPandas(_assemble(path), "key string, ids array<int>")
-    return short.unionByName(large.select(id_column, "key").join(joined, "key").select(id_column, "ids"))
+    return short.unionByName(large.select("__id", "key").join(joined, "key").select("__id", "ids")).select(F.col("__id").alias(id_column), "ids")
