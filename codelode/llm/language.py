@@ -178,6 +178,8 @@ def fit(samples: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> M
             for lang, words in agreeing(*model.value, batch.named, batch.text).items():
                 total[:, model.value[0].index(lang)] += np.bincount(ngrams(words)[0], minlength=BUCKETS)
         bucket, column = np.nonzero(total)
+        if not len(bucket):
+            return
         yield pd.DataFrame({"lang": np.array(model.value[0], dtype=object)[column], "bucket": bucket, "n": total[bucket, column]})
 
     labelled = documents.select("doc_id", named(F.col("lang")).alias("named"), "text").where("named IS NOT NULL AND text IS NOT NULL")
@@ -223,7 +225,9 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
                 for number, (start, end, said) in enumerate(sentences(text)):
                     rows.append((doc_id, label, number, start, end, len(said)))
                     words.append(said)
-            odds = confidence(score(words, logs)) if words else np.zeros((0, len(langs)))
+            if not rows:
+                continue
+            odds = confidence(score(words, logs))
             best = odds.argmax(axis=1)
             frame = pd.DataFrame(rows, columns=["doc_id", "label", "segment_no", "start_char", "end_char", "letters"])
             yield frame.assign(lang=np.array(langs, dtype=object)[best], confidence=odds[np.arange(len(best)), best])

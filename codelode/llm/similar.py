@@ -69,7 +69,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for vec, column in (("sig", batch.sig_embedding_json), ("body", batch.body_embedding_json)):
             found = [(i, v) for i, v in zip(batch.chunk_id, map(parse, column)) if v is not None]
-            yield pd.DataFrame({"vec": vec, "id": [i for i, _ in found], "v": [v for _, v in found]})
+            if found:
+                yield pd.DataFrame({"vec": vec, "id": [i for i, _ in found], "v": [v for _, v in found]})
 
 
 def vectors(chunks: DataFrame) -> DataFrame:
