@@ -42,9 +42,14 @@ MAX_CELLS = 4096
 FIT_ROWS = 64
 #: How much less similar than its own another centroid may be for its cell to be searched too.
 MARGIN = 0.2
-#: The same for partners of a similarity of 0.945 or more, which are almost always much nearer.
-CLOSE_MARGIN = 0.1
+#: The same for partners of a similarity of 0.945 or more. Of two such vectors in different cells, one is as near to
+#: the other's centroid but for half of what their difference is worth along the line between both centroids, and
+#: that is more than this in about one of 300 pairs that a boundary parts.
+CLOSE_MARGIN = 0.08
 BREADTH = 32
+#: Breadths of a search for partners of high similarity: at the vector's own node, and in other shards. It stops when
+#: all of the best so many nodes were looked at, and very similar nodes are the first that are met.
+CLOSE_BREADTHS = (8, 16)
 LINKS = 12
 
 
@@ -138,7 +143,7 @@ def _assign(cells: dict, margin: float):
     return run
 
 
-def _answer(k: int, breadth: int, links: int, least: float):
+def _answer(k: int, breadth: int, breadths: tuple[int, int], links: int, least: float):
     """Builds the graph of each shard of a partition and streams the queries of the shard past it."""
     columns = ["vec", "id", "other", "similarity"]
 
@@ -156,7 +161,7 @@ def _answer(k: int, breadth: int, links: int, least: float):
             nonlocal graph
             if graph is None and ids:
                 graph = Graph(matrix(parts), links, breadth, seed=shard)
-                yield rows(vec, np.array(ids, dtype=object), np.array(ids, dtype=object), graph.search(graph.vectors, k, breadth, np.arange(len(ids))))
+                yield rows(vec, np.array(ids, dtype=object), np.array(ids, dtype=object), graph.search(graph.vectors, k, breadths[0], np.arange(len(ids))))
 
         for batch in batches:
             # the rows of a partition are in order of shard and role
@@ -170,7 +175,7 @@ def _answer(k: int, breadth: int, links: int, least: float):
                     continue
                 yield from finish()
                 if graph is not None:
-                    yield rows(vec, own.id.to_numpy(), np.array(ids, dtype=object), graph.search(matrix(list(own.v)), k, breadth))
+                    yield rows(vec, own.id.to_numpy(), np.array(ids, dtype=object), graph.search(matrix(list(own.v)), k, breadths[1]))
         yield from finish()
 
     return run
@@ -181,14 +186,19 @@ def classes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vec", "key").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.count("*").alias("copies"))
 
 
-def neighbours(rows: DataFrame, k: int = K, margin: float = MARGIN, breadth: int = BREADTH, links: int = LINKS, least: float = -1.0, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(vec, id, other, similarity, rank): the k most similar other classes of each class, by their smallest ids."""
+def neighbours(
+    rows: DataFrame, k: int = K, margin: float = MARGIN, breadth: int = BREADTH, breadths: tuple[int, int] | None = None, links: int = LINKS, least: float = -1.0, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """(vec, id, other, similarity, rank): the k most similar other classes of each class, by their smallest ids.
+
+    breadth is that of building a graph, breadths those of searching it for its own nodes and for others.
+    """
     cells = fit_cells(rows, shard_rows)
     shards = sum(int(s.sum()) for _, s in cells.values())
     placed = classes(rows).select("vec", "id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("hash")).mapInPandas(_assign(cells, margin), "shard int, role byte, vec string, id string, v binary")
     # with a number, so that small shards are not put together: each is seconds of work
     spread = placed.repartition(max(1, 3 * shards), "shard").sortWithinPartitions("shard", "role")
-    found = spread.mapInPandas(_answer(k, breadth, links, least), "vec string, id string, other string, similarity double")
+    found = spread.mapInPandas(_answer(k, breadth, breadths or (breadth, breadth), links, least), "vec string, id string, other string, similarity double")
     order = Window.partitionBy("vec", "id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -198,7 +208,7 @@ def close_pairs(rows: DataFrame, least: float, k: int = K, margin: float = CLOSE
 
     Copies come first: one of many copies has the k smallest ids of the others as its most similar.
     """
-    near = cut(neighbours(rows, k, margin, least=least))
+    near = cut(neighbours(rows, k, margin, breadths=CLOSE_BREADTHS, least=least))
     copies = rows.select("vec", "key", "id").withColumn("n", F.row_number().over(Window.partitionBy("vec", "key").orderBy("id"))).where(F.col("n") <= k + 1)
     heads = copies.groupBy("vec", "key").agg(F.array_sort(F.collect_list("id")).alias("heads"))  # k + 1 ids at most
     several = heads.where(F.size("heads") > 1)
