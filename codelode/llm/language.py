@@ -221,7 +221,7 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
         langs, logs = model.value
         for batch in batches:
             rows, words = [], []
-            for doc_id, label, text in zip(batch.doc_id, batch.lang, batch.text):
+            for doc_id, label, text in zip(batch.doc_id.astype("Int64"), batch.lang, batch.text):
                 for number, (start, end, said) in enumerate(sentences(text)):
                     rows.append((doc_id, label, number, start, end, len(said)))
                     words.append(said)
@@ -230,7 +230,7 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
             odds = confidence(score(words, logs))
             best = odds.argmax(axis=1)
             frame = pd.DataFrame(rows, columns=["doc_id", "label", "segment_no", "start_char", "end_char", "letters"])
-            yield frame.assign(lang=np.array(langs, dtype=object)[best], confidence=odds[np.arange(len(best)), best])
+            yield frame.astype({"doc_id": "Int64"}).assign(lang=np.array(langs, dtype=object)[best], confidence=odds[np.arange(len(best)), best])
 
     wanted = documents.select("doc_id", "lang", "text").where("text IS NOT NULL")
     return wanted.mapInPandas(run, "doc_id long, label string, segment_no int, start_char int, end_char int, letters int, lang string, confidence double")

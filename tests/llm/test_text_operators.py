@@ -226,11 +226,11 @@ def test_wrong_labels(spark, clashing):
     en, de = "The search endpoint fails when the chunk cache is empty, although the log claims otherwise.", "Der Fehler tritt nur auf, wenn die Warteschlange leer ist, aber das merkt man kaum."
     rows = [
         (1, "en", en), (2, "English", en), (3, "en_GB", en), (4, None, en), (5, "  ", en), (6, "de", en), (7, "mul", en + "\n" + de), (8, "en", None), (9, None, ""), (10, None, "x = 1;\n"), (6, "de", en),
-        (11, "de", de.upper()), (12, "ger", de), (13, "en", (en + "\n") * 3000),
+        (None, "de", en), (11, "de", de.upper()), (12, "ger", de), (13, "en", (en + "\n") * 3000),
     ]
     docs = clashing(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
     out = {(r.doc_id, r.lang) for r in language.wrong_labels(docs, clashing(samples)).collect()}
-    assert out == {(4, "en"), (5, "en"), (6, "en"), (7, "de"), (7, "en")}
+    assert out == {(4, "en"), (5, "en"), (6, "en"), (7, "de"), (7, "en"), (None, "en")}
     assert language.wrong_labels(docs.limit(0), samples).count() == 0
     with pytest.raises(ValueError):
         language.fit(samples.limit(0), docs)
