@@ -83,7 +83,7 @@ def centrality(edges: DataFrame, owners: DataFrame) -> DataFrame:
     usage = per_repo.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.min("source_repo").alias("one"))
     foreign = (F.col("repos") > 1) | (F.col("owner").isNotNull() & (F.col("one") != F.col("owner")))
     score = F.ln(F.lit(1.0) + F.col("n")) * CENTRALITY_STEP * F.when(foreign, FOREIGN_FACTOR).otherwise(1.0)
-    return owners.distinct().join(usage, "name", "left").select("name", "owner", F.coalesce(F.least(F.lit(CENTRALITY_CAP), score), F.lit(0.0)).alias("centrality"))
+    return owners.distinct().join(usage, "name", "left").select("name", "owner", F.least(F.lit(CENTRALITY_CAP), F.coalesce(score, F.lit(0.0))).alias("centrality"))
 
 
 def api_links(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def like(text: str, part: str) -> str:
 def centrality_sql(owners: str) -> str:
     return f"""{EDGES}, calls AS (SELECT target_symbol, source_repo, count(*) AS n FROM edges WHERE target_symbol IS NOT NULL GROUP BY ALL),
 owners AS ({owners}), usage AS (SELECT name, sum(n) AS n, count(DISTINCT source_repo) AS repos, min(source_repo) AS one FROM (SELECT DISTINCT name FROM owners WHERE name <> '') JOIN calls ON {like('target_symbol', 'name')} GROUP BY name),
-boosts AS (SELECT name, owner, coalesce(least(0.08, ln(1.0 + n) * 0.02 * CASE WHEN repos > 1 OR (owner IS NOT NULL AND one <> owner) THEN 1.8 ELSE 1.0 END), 0.0) AS centrality FROM (SELECT DISTINCT name, owner FROM owners) LEFT JOIN usage USING (name))"""
+boosts AS (SELECT name, owner, least(0.08, coalesce(ln(1.0 + n) * 0.02 * CASE WHEN repos > 1 OR (owner IS NOT NULL AND one <> owner) THEN 1.8 ELSE 1.0 END, 0.0)) AS centrality FROM (SELECT DISTINCT name, owner FROM owners) LEFT JOIN usage USING (name))"""
 
 
 def _hybrid(scope: str = "", factor: str = "1.0", relation: str = "'primary'", direction: str = "CAST(NULL AS VARCHAR)", hops: str = "0", join: str = "") -> str:
