@@ -11,6 +11,7 @@ from codelode.operators.dense import dense
 from codelode.operators.graph import centrality, first_callees, first_callers
 from codelode.operators.lexical import bm25f, top
 from codelode.operators.relations import HOP_DECAY, Scope
+from codelode.session import cut
 
 #: Fixed values of the ranking.
 RANK_OFFSET, DENSE_WEIGHT, SPARSE_WEIGHT, SYMBOL_BOOST, FAN_OUT = 60, 1.0, 0.85, 0.020, 3
@@ -45,8 +46,8 @@ def hybrid(chunks: DataFrame, edges: DataFrame, query: str, query_vectors: DataF
     """
     own = chunks if scope is None else scope.filter(chunks)
     shown = own.select("chunk_id", "repo_id", "file_path", "symbol_name", "start_line")
-    found = F.broadcast(candidates(own, query, query_vectors, top_k))
-    rows = shown.join(found, "chunk_id")
+    # a few dozen rows, from which all that follows is taken; without the cut both retrievers would run once for each use
+    rows = cut(shown.join(F.broadcast(candidates(own, query, query_vectors, top_k)), "chunk_id"))
     named = rows.where("symbol_name <> ''").select(F.col("symbol_name").alias("name"), F.col("repo_id").alias("owner"))
     boosts = centrality(edges, named)
     low, asked = F.lower("symbol_name"), F.lit(query.lower())
@@ -65,6 +66,7 @@ def hybrid(chunks: DataFrame, edges: DataFrame, query: str, query_vectors: DataF
 
 def enrich(results: DataFrame, edges: DataFrame) -> DataFrame:
     """Results with the first three callers (of any repository) and callees (of their own) of their symbols."""
+    results = cut(results)
     names = results.select("symbol_name").distinct()
     into = first_callers(edges.join(F.broadcast(names.withColumnRenamed("symbol_name", "target_symbol")), "target_symbol", "left_semi"))
     caller = F.struct("rank", "source_repo", "source_file", "source_symbol", "edge_type", "line_number")
