@@ -183,9 +183,11 @@ def test_streaming(spark, tmp_path):
     spark.createDataFrame(rows, "edge_id string, at string, repo string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.parquet(source)
     schema = spark.read.parquet(source).schema
 
+    runs = iter(range(9))
+
     def run(transform, mode="append"):
         frame = transform(spark.readStream.schema(schema).parquet(source))
-        query = frame.writeStream.format("memory").queryName("out").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c{id(transform)}")).start()
+        query = frame.writeStream.format("memory").queryName("out").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c{next(runs)}")).start()
         query.awaitTermination()
         return spark.sql("SELECT * FROM out").collect()
 
