@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import contains_like, fold
+from codelode.session import broadcast_if_small
 
 CENTRALITY_STEP, CENTRALITY_CAP, FOREIGN_FACTOR = 0.02, 0.08, 1.8
 GRAM = 4
@@ -58,8 +59,8 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     """Pairs of a text and a name that it contains (see contains_like), without comparing all with all.
 
     A name is looked up by the first GRAM letters of its longest run without wild characters, which any text
-    that contains it has too. The few names without such a run are compared with all texts; their number is
-    checked before they are broadcast.
+    that contains it has too. The few names without such a run are compared with all texts; they are broadcast if
+    they are counted to be few.
     """
     runs = F.transform(F.split(fold(F.col(name)), "[%_]"), lambda r: F.struct(F.length(r).alias("size"), r.alias("run")))
     keyed = names.withColumn("__run", F.array_max(runs)["run"])
@@ -67,7 +68,7 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     parts = texts.withColumn("__gram", F.explode(_grams(F.col(text))))
     found = parts.join(usual, "__gram").where(contains_like(F.col(text), F.col(name))).drop("__gram")
     short = keyed.where(F.length("__run") < GRAM).drop("__run")
-    return found.unionByName(texts.join(F.broadcast(short), contains_like(F.col(text), F.col(name))).select(*found.columns))
+    return found.unionByName(texts.join(broadcast_if_small(short), contains_like(F.col(text), F.col(name))).select(*found.columns))
 
 
 def centrality(edges: DataFrame, owners: DataFrame) -> DataFrame:
