@@ -18,7 +18,20 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.vectors(table(spark, sf_dir, "chunks_v2", "chunk_id", "sig_embedding_json", "body_embedding_json"))
 
 
-@LLM.add("p1_found")
+_NUMBER = r"\s*-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*"
+
+
+@LLM.add(
+    "p1_found",
+    rf"""
+WITH raw AS (SELECT DISTINCT chunk_id, 'sig' AS vec, sig_embedding_json AS j FROM chunks_v2 UNION SELECT chunk_id, 'body', body_embedding_json FROM chunks_v2),
+numbers AS (SELECT vec, chunk_id, list_transform(string_split(regexp_replace(j, '[\[\]\s]', '', 'g'), ','), lambda x: CAST(x AS DOUBLE)) AS v FROM raw WHERE regexp_full_match(j, '\s*\[{_NUMBER}(,{_NUMBER})*\]\s*')),
+whole AS (SELECT vec, chunk_id, CAST(v AS DOUBLE[64]) AS v FROM numbers WHERE len(v) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec, a.chunk_id AS a, b.chunk_id AS b, array_cosine_similarity(a.v, b.v) AS s FROM whole a JOIN whole b ON a.vec = b.vec AND a.chunk_id <> b.chunk_id),
+best AS (SELECT * FROM pairs WHERE s >= 0.945 QUALIFY row_number() OVER (PARTITION BY vec, a ORDER BY round(s, 9) DESC, b) <= 5)
+SELECT DISTINCT vec, least(a, b) AS chunk_id_a, greatest(a, b) AS chunk_id_b FROM best
+""",
+)
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = similar.close_pairs(_vectors(spark, sf_dir), 0.945)
     return found.select("vec", F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
