@@ -62,12 +62,15 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     that contains it has too. The few names without such a run are compared with all texts; they are broadcast if
     they are counted to be few.
     """
-    runs = F.transform(F.split(fold(F.col(name)), "[%_]"), lambda r: F.struct(F.length(r).alias("size"), r.alias("run")))
-    keyed = names.withColumn("__run", F.array_max(runs)["run"])
+    parts = F.split(fold(F.col(name)), "[%_]")
+    longest = F.array_max(F.transform(parts, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"]
+    keyed = names.withColumns({"__parts": parts, "__run": longest})
     usual = keyed.where(F.length("__run") >= GRAM).withColumn("__gram", F.substring("__run", 1, GRAM)).drop("__run")
-    parts = texts.withColumn("__gram", F.explode(_grams(F.col(text))))
-    found = parts.join(usual, "__gram").where(contains_like(F.col(text), F.col(name))).drop("__gram")
-    short = keyed.where(F.length("__run") < GRAM).drop("__run")
+    grams = texts.withColumn("__gram", F.explode(_grams(F.col(text)))).withColumn("__low", fold(F.col(text)))
+    # LIKE builds a pattern for each pair, so only pairs come to it that have all runs, and only names with wild characters
+    likely = grams.join(usual, "__gram").where(F.forall("__parts", lambda r: F.contains(F.col("__low"), r)))
+    found = likely.where(F.when(F.size("__parts") > 1, contains_like(F.col(text), F.col(name))).otherwise(True)).drop("__gram", "__parts", "__low")
+    short = keyed.where(F.length("__run") < GRAM).drop("__run", "__parts")
     return found.unionByName(texts.join(broadcast_if_small(short), contains_like(F.col(text), F.col(name))).select(*found.columns))
 
 

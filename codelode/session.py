@@ -38,3 +38,12 @@ def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def broadcast_if_small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The frame with a broadcast hint if it was counted to be small, else unchanged (Spark shuffles)."""
     return F.broadcast(frame) if small(frame, rows) else frame
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame in at least as many partitions as tasks run at once, for work that costs far more than moving the rows.
+
+    A table of a few small files is one partition, and one task would do all of it.
+    """
+    tasks = frame.sparkSession.sparkContext.defaultParallelism
+    return frame if frame.rdd.getNumPartitions() >= tasks else frame.repartition(tasks)
