@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import spread
+
 #: Labelled documents on which the model is fitted besides the samples (taken by a hash of doc_id).
 FIT_ROWS = 20_000
 BUCKETS = 1 << 16
@@ -185,7 +187,7 @@ def fit(samples: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> M
     labelled = documents.select("doc_id", named(F.col("lang")).alias("named"), "text").where("named IS NOT NULL AND text IS NOT NULL")
     share = min(1.0, fit_rows / max(1, labelled.count()))
     taken = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("named", "text")
-    more = taken.mapInPandas(count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    more = spread(taken).mapInPandas(count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     return matrix(pd.concat([counts, more]) if len(more) else counts)
 
 
@@ -233,7 +235,7 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
             yield frame.astype({"doc_id": "Int64"}).assign(lang=np.array(langs, dtype=object)[best], confidence=odds[np.arange(len(best)), best])
 
     wanted = documents.select("doc_id", "lang", "text").where("text IS NOT NULL")
-    return wanted.mapInPandas(run, "doc_id long, label string, segment_no int, start_char int, end_char int, letters int, lang string, confidence double")
+    return spread(wanted).mapInPandas(run, "doc_id long, label string, segment_no int, start_char int, end_char int, letters int, lang string, confidence double")
 
 
 def named(label: Column) -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.hnsw import Graph
-from codelode.session import cut
+from codelode.session import cut, spread
 
 DIMENSIONS = 64
 K = 5
@@ -80,7 +80,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def vectors(chunks: DataFrame) -> DataFrame:
     """(vec, id, v, key): the vectors of the chunks, once per id; key tells equal vectors."""
-    raw = chunks.where("chunk_id IS NOT NULL").select("chunk_id", "sig_embedding_json", "body_embedding_json").mapInPandas(_parse, "vec string, id string, v binary")
+    raw = spread(chunks.where("chunk_id IS NOT NULL").select("chunk_id", "sig_embedding_json", "body_embedding_json")).mapInPandas(_parse, "vec string, id string, v binary")
     return cut(raw.groupBy("vec", "id").agg(F.min("v").alias("v")).withColumn("key", F.unhex(F.sha2("v", 256))))
 
 

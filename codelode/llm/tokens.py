@@ -30,6 +30,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import spread
+
 #: Where the vocabulary files are, and which of them is used, unless the caller says otherwise.
 TOKENIZERS = os.environ.get("CODELODE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -154,7 +156,7 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
     """(id, ids): one row per document, with the ids of its text."""
     rows = documents.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
     size = F.coalesce(F.length("__text"), F.lit(0))
-    short = rows.where(size < long).select("__id", _whole(path)("__text").alias("ids"))
+    short = spread(rows.where(size < long)).select("__id", _whole(path)("__text").alias("ids"))
     # One group per long text: its ids are one row of the result in any case. Equal texts are encoded once.
     large = rows.where(size >= long).withColumn("key", F.sha2("__text", 256))
     texts = large.groupBy("key").agg(F.first("__text").alias("__text"))
