@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import cut, spread
 from codelode.sources.lines import calls, code_lines, definitions
 
 _ROWS = "what string, id string, repo_id string, file_path string, name string, kind string, line_number int, signature string, docstring string, parent_symbol string"
@@ -52,7 +53,8 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def python_symbols(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(symbols, calls) of Python files (repo_id, file_path, content)."""
-    rows = files.where("content IS NOT NULL").select("repo_id", "file_path", "content").mapInPandas(_parse, _ROWS)
+    # symbols, calls and broken files are taken from it; parsing three times would cost more than writing the rows
+    rows = cut(spread(files.where("content IS NOT NULL").select("repo_id", "file_path", "content")).mapInPandas(_parse, _ROWS))
     broken = files.join(rows.where("what = 'broken'").select("repo_id", "file_path"), ["repo_id", "file_path"], "left_semi").withColumn("language", F.lit("python"))
     lines = code_lines(broken, "content")
     shape = [F.col("name"), "kind", "line_number", "signature", "docstring", "parent_symbol"]

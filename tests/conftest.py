@@ -29,10 +29,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-DATA = "/root/testdata/sf0.001"
-EXTRA = "'x' AS key, 1 AS n, 'y' AS ids, 2 AS start, 'z' AS repo, 0 AS rank"
-
-
 @pytest.fixture(scope="session")
 def clashing():
     """Adds columns whose names the operators use inside."""
