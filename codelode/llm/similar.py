@@ -41,12 +41,14 @@ MAX_CELLS = 4096
 #: Vectors per cell in the sample on which centroids are fitted; so it has at most MAX_CELLS * FIT_ROWS vectors.
 FIT_ROWS = 64
 #: How much less similar than its own another centroid may be for its cell to be searched too.
-MARGIN = 0.2
+MARGIN = 0.25
 #: The same for partners of a similarity of 0.945 or more. Of two such vectors in different cells, one is as near to
 #: the other's centroid but for half of what their difference is worth along the line between both centroids, and
 #: that is more than this in about one of 300 pairs that a boundary parts.
 CLOSE_MARGIN = 0.08
 BREADTH = 32
+#: Breadths of a search for the most similar of all, at the vector's own node and in other shards.
+BREADTHS = (64, 48)
 #: Breadths of a search for partners of high similarity: at the vector's own node, and in other shards. It stops when
 #: all of the best so many nodes were looked at, and very similar nodes are the first that are met.
 CLOSE_BREADTHS = (8, 16)
@@ -187,7 +189,7 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def neighbours(
-    rows: DataFrame, k: int = K, margin: float = MARGIN, breadth: int = BREADTH, breadths: tuple[int, int] | None = None, links: int = LINKS, least: float = -1.0, shard_rows: int = SHARD_ROWS
+    rows: DataFrame, k: int = K, margin: float = MARGIN, breadth: int = BREADTH, breadths: tuple[int, int] = BREADTHS, links: int = LINKS, least: float = -1.0, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """(vec, id, other, similarity, rank): the k most similar other classes of each class, by their smallest ids.
 
@@ -198,7 +200,7 @@ def neighbours(
     placed = classes(rows).select("vec", "id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("hash")).mapInPandas(_assign(cells, margin), "shard int, role byte, vec string, id string, v binary")
     # with a number, so that small shards are not put together: each is seconds of work
     spread = placed.repartition(max(1, 3 * shards), "shard").sortWithinPartitions("shard", "role")
-    found = spread.mapInPandas(_answer(k, breadth, breadths or (breadth, breadth), links, least), "vec string, id string, other string, similarity double")
+    found = spread.mapInPandas(_answer(k, breadth, breadths, links, least), "vec string, id string, other string, similarity double")
     order = Window.partitionBy("vec", "id").orderBy(F.desc("similarity"), "other")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
