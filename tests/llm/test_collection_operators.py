@@ -130,6 +130,16 @@ def test_judge(spark, clashing):
     assert {r.file_path for r in handwritten.judge(f, c.limit(0), d.limit(0)).collect()} == {"vendor/a/x.py", "node_modules/b/y.js", "lib/thing-1.2.3/x.ts", "src/generated/a/x.ts", "x_pb2.py", "a.min.js", "web/package-lock.json"}
 
 
+@pytest.mark.parametrize("line, tool, others", [
+    ("// AUTO-GENERATED FILE - do not modify by hand", True, False), ('"""AUTO-GENERATED FILE - do not modify by hand"""', True, False), ("# Code generated by stubs v2. Must not be edited by hand.", True, False), ("// Generated by stubs; changes made by hand are lost", True, False),
+    ("# Generated by stubs v2, which no longer reads the old schema.", True, False), ("// Not written by hand: generated by stubs. DO NOT EDIT", True, False), ("// Vendored from thing, which is no longer maintained.", False, True), ("// Tests generated by stubs. Do not edit.", True, False),
+    ("# No longer generated by stubs.", False, False), ("// This file was generated once, now it is written by hand.", False, False), ("# Not automatically generated any more.", False, False), ("// Removes auto-generated files before the import starts.", False, False), ("/// Auto-generated method stub", False, False),
+    ("# This used to be generated by stubs; edit as you like.", False, False), ("// Loosely inspired by thing v1.2, but none of its code is used.", False, False), ("# Not vendored from thing any more.", False, False),
+])
+def test_only_what_is_negated_is_no_mark(line, tool, others):
+    assert handwritten.features(line + "\nx = 1\n", "python", "block", 1)[7:9] == (tool, others)
+
+
 def source(seed, n=120):
     rng = np.random.default_rng(seed)
     return "\n".join(f"    value_{rng.integers(1e6)} = call_{rng.integers(1e6)}(item_{rng.integers(1e6)}, {rng.integers(100)})" for _ in range(n))
