@@ -5,9 +5,9 @@ budget. A source that must be used 2.3 times gives each of its documents twice,
 probability 0.3. That fraction is drawn by the cube method: probabilities move through the null space of
 the constraints (the sum of tokens and the number of documents), so that both sums stay what they are,
 until all but two of a block are decided. The undecided of all blocks are put into blocks again, and so
-on, until one block per source is left. Its last two documents, with a reserve of ``RESERVE`` others, are
-decided by trying all their subsets (the landing): a very large document is often among the last two, and
-the reserve makes up for it.
+on, until one block per source is left. Its last two documents, with a reserve of ``RESERVE`` others that
+each source sets aside before the first round, are decided by trying all their subsets (the landing): a very
+large document is often among the last two, and the reserve makes up for it.
 
 Blocks are made by a hash of doc_id and hold about ``BLOCK`` documents, also those of a source that has a
 third of all rows; each round leaves two undecided per block, so the number of rounds is the logarithm of
@@ -26,7 +26,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.llm.tokens import encode_corpus
@@ -131,9 +131,16 @@ def mix(sizes: DataFrame, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     units = _usable(sizes).join(broadcast_if_small(plan.select("mix_id", "source", "rate", "docs")), "source").where("rate > 0")
     units = units.select("mix_id", "source", "doc_id", "tokens", base.alias("base"), (F.col("rate") - base).alias("p"), F.ceil(F.col("docs") / block).alias("blocks"))
     decided, undecided = units.where("p <= 0").drop("blocks"), units.where("p > 0")
+    order, reserve = F.xxhash64("doc_id", "mix_id").alias("order"), None
+    if largest > block:
+        # those that the last round would keep: set aside in every source, whatever the size of the largest
+        ranked = undecided.withColumn("rank", F.row_number().over(Window.partitionBy("mix_id", "source").orderBy(order, "doc_id")))
+        reserve = cut(ranked.where(F.col("rank") <= RESERVE).drop("rank"))
+        undecided = undecided.join(broadcast_if_small(reserve.select("mix_id", "source", "doc_id")), ["mix_id", "source", "doc_id"], "left_anti")
     while True:
         last = largest <= block
-        order = F.xxhash64("doc_id", "mix_id").alias("order")
+        if last and reserve is not None:
+            undecided = undecided.unionByName(reserve, allowMissingColumns=True)
         place = F.lit(0) if last else F.pmod(F.xxhash64("mix_id", "doc_id"), F.col("blocks"))
         keyed = undecided.select("mix_id", "source", "doc_id", "tokens", "base", "p", order, place.alias("block"))
         done = keyed.groupBy("mix_id", "source", "block").applyInPandas(_round(last), _UNITS)

@@ -219,3 +219,16 @@ def test_mixture_reaches_targets(spark, clashing):
     assert again == 0
     empty = mixing.token_sizes(docs.limit(0))
     assert mixing.mix(empty, mixing.plans(empty, targets)).count() == 0 and mixing.plans(sizes, targets.limit(0)).count() == 0
+
+
+def test_small_sources_keep_their_reserve_beside_a_large_one(spark):
+    rng = np.random.default_rng(4)
+    sizes = [(i, "small", 1500 if i % 20 == 0 else int(n)) for i, n in enumerate(rng.integers(20, 200, 400))]
+    sizes += [(1000 + i, "large", 1500 if i % 20 == 0 else int(n)) for i, n in enumerate(rng.integers(20, 200, mixing.BLOCK + 500))]
+    sizes = spark.createDataFrame([*sizes, (1, "small", 5), (9000, "few", 100), (9001, "few", 90)], "doc_id long, source string, tokens long").dropDuplicates(["doc_id"]).cache()
+    goals = [(f"m{i}", source, share, 1, 0.3) for i in range(8) for source, share in (("small", 0.11), ("large", 0.8), ("few", 0.0001))]
+    plan = mixing.plans(sizes, spark.createDataFrame(goals, "mix_id string, source string, target_share double, max_repeats int, budget_ratio double"))
+    chosen = mixing.mix(sizes, plan)
+    got = [r for r in mixing.report(chosen, plan).collect() if r.source != "few"]
+    assert len(got) == 16 and max(abs(r.actual_tokens - r.target_tokens) for r in got) <= 50
+    assert chosen.groupBy("mix_id", "doc_id").count().where("count > 1").count() == 0
