@@ -49,9 +49,9 @@ CLOSE_MARGIN = 0.08
 BREADTH = 32
 #: Breadths of a search for the most similar of all, at the vector's own node and in other shards.
 BREADTHS = (64, 48)
-#: Breadths of a search for partners of high similarity: at the vector's own node, and in other shards. It stops when
-#: all of the best so many nodes were looked at, and very similar nodes are the first that are met.
-CLOSE_BREADTHS = (8, 16)
+#: Breadths of a search for partners of high similarity: at the vector's own node, and in other shards. In a group of
+#: hundreds of vectors that are all alike, a narrow search stops before it has met the nearest of them.
+CLOSE_BREADTHS = (64, 48)
 LINKS = 12
 
 

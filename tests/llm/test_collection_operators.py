@@ -97,6 +97,14 @@ def test_shards_and_recall(spark):
     assert found.groupBy("id").count().where("count > 5").count() == 0
 
 
+def test_close_search_in_groups_of_similar_vectors():
+    rng = np.random.default_rng(6)
+    vectors = np.repeat(unit(rng, 6), [10, 30, 100, 300, 600, 1000], axis=0) + rng.normal(size=(2040, 64)) * 0.025
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    ids, _ = Graph(vectors).search(vectors, 5, similar.CLOSE_BREADTHS[0], np.arange(len(vectors)))
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, truth(vectors, vectors, 5, np.arange(len(vectors))))]) >= 0.99
+
+
 def test_no_vectors(spark):
     rows = similar.vectors(chunk_frame(spark, [], [("a", None, None)]))
     assert similar.neighbours(rows).count() == similar.close_pairs(rows, 0.9).count() == 0
