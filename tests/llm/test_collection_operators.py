@@ -145,7 +145,16 @@ def test_judge(spark, clashing):
     ("# This used to be generated by stubs; edit as you like.", False, False), ("// Loosely inspired by thing v1.2, but none of its code is used.", False, False), ("# Not vendored from thing any more.", False, False),
 ])
 def test_only_what_is_negated_is_no_mark(line, tool, others):
-    assert handwritten.features(line + "\nx = 1\n", "python", "block", 1)[7:9] == (tool, others)
+    assert handwritten.features(line + "\nx = 1\n", "python", "block", 1)[-6:-4] == (tool, others)
+
+
+def test_sizes_of_wide_characters(spark):
+    texts = {"a.py": 'NAMES = [\n' + '    "日本語の文字列",\n' * 40 + "]\n", "b.py": 'NAMES = [\n' + '    "日本語の文字列",\n' * 10 + "]\n", "c.js": "!function(){" + "a=b?c.d:void 0,".replace(" ", "") * 60 + 'e="' + "строка" * 150 + '"}()'}
+    size = {p: len(t.encode()) for p, t in texts.items()} | {"b.py": 5000}  # most chunks of b are missing
+    files = spark.createDataFrame([("r", p, n, 1.0) for p, n in size.items()], "repo_id string, file_path string, size_bytes long, last_modified double")
+    chunks = spark.createDataFrame([(p, "r", p, t, LANGUAGE[p.rpartition(".")[2]], "block", 1) for p, t in texts.items()], "chunk_id string, repo_id string, file_path string, raw_content string, language string, chunk_type string, start_line int")
+    out = handwritten.judge(files, chunks, spark.createDataFrame([], "repo_id string, depends_on_repo_id string")).collect()
+    assert {(r.file_path, r.reason) for r in out} == {("a.py", "data"), ("c.js", "minified")}
 
 
 def source(seed, n=120):
