@@ -148,6 +148,15 @@ def test_only_what_is_negated_is_no_mark(line, tool, others):
     assert handwritten.features(line + "\nx = 1\n", "python", "block", 1)[-6:-4] == (tool, others)
 
 
+@pytest.mark.parametrize("text, language, kind, line, tool", [
+    ("// licence\n" * 30 + "// Code generated by stubs. DO NOT EDIT.\nfunc f() {}", "go", "function", 1, True), ("/*\n" + "  licence\n" * 30 + "  Code generated by stubs.\n*/\nfunc f() {}", "go", "function", 1, True),
+    ("/*! Code generated by stubs */" + "a=b;" * 200, "javascript", "block", 1, True), ("// " + "long licence " * 60 + "@generated", "javascript", "block", 1, True), ("#a{b:c}" * 100 + "/* @generated */", "css", "block", 1, False),
+    ("/*! thing */" + "a='do not edit';" * 100, "javascript", "block", 1, False), ("func f() {}\n" * 30 + "// @generated\n", "go", "function", 1, False), ("//" + "a" * 200_000, "javascript", "block", 1, False),
+])
+def test_marks_in_the_whole_leading_comment(text, language, kind, line, tool):
+    assert handwritten.features(text, language, kind, line)[-6] == tool
+
+
 def test_sizes_of_wide_characters(spark):
     texts = {"a.py": 'NAMES = [\n' + '    "日本語の文字列",\n' * 40 + "]\n", "b.py": 'NAMES = [\n' + '    "日本語の文字列",\n' * 10 + "]\n", "c.js": "!function(){" + "a=b?c.d:void 0,".replace(" ", "") * 60 + 'e="' + "строка" * 150 + '"}()'}
     size = {p: len(t.encode()) for p, t in texts.items()} | {"b.py": 5000}  # most chunks of b are missing
