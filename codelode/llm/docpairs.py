@@ -8,9 +8,11 @@ descriptive prose is filtered.
 Defined results: a null or blank docstring, or one that says nothing, is replaced by the docstring or
 comment attached to the definition; without prose in either there is no pair. A chunk whose content is
 null has no definition. If several chunks fit, the one with the smallest chunk_id is taken; repeated rows
-count once. Bodies that never close, and patterns that take longer than ``TIMEOUT`` seconds (very long
-texts), leave the code as the rest of the chunk and take the comment line by line. Empty tables give no
-rows; other columns are ignored.
+count once. The pattern is tried at one place, where the comment above the definition begins, and its
+repeats never give back what they took, so its steps are bounded by the text alone (a second for a body of
+about 20,000 blocks), not by a clock. Where it does not fit (functions that are assigned to a name, bodies
+that never close), the comment is found in the same way and the code is the rest of the chunk. Empty tables
+give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,57 +25,70 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TIMEOUT = 2.0
-
-_STRING = r'(?P<str>"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`(?:[^`\\]|\\.)*+`)'
+_STRING = r'(?:"(?:[^"\\\n]|\\.)*+"|\'(?:[^\'\\\n]|\\.)*+\'|`(?:[^`\\]|\\.)*+`)'
+#: The string that is a docstring.
+_DOC = r"(?P<doc>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*+\"(?=[ \t]*(?:\n|$))|'(?:[^'\\\n]|\\.)*+'(?=[ \t]*(?:\n|$)))"
 _COMMENT = r"(?://[^\n]*|/\*(?:[^*]|\*(?!/))*+\*/)"
-_ARGS = r"(?P<args>\((?:[^()\"'`]|(?&str)|(?&args)|[\"'`])*+\))"
+_ARGS = rf"(?P<args>\((?:[^()\"'`]++|{_STRING}|(?&args)|[\"'`])*+\))"
 
 #: Languages with braces: attached comments and marks, the signature, and the balanced body.
 BRACES = regex.compile(
-    rf"(?(DEFINE){_STRING})"
     rf"(?P<head>(?:^[ \t]*(?:{_COMMENT}|@[\w.]+(?:\([^\n]*\))?|\#!?\[[^\n]*\])[ \t]*\n)*+)"
     r"(?P<sig>^[ \t]*(?!(?:if|for|while|switch|catch|return|else|do|try|new|throw|await)\b)(?:func[ \t]*\([^()\n]*\)[ \t]*)?"
-    rf"[^\n(){{}};]*?\b(?P<name>[\w$]+)[ \t]*(?:<[^\n()]*>)?[ \t]*{_ARGS}[^{{}};\n]*)"
-    rf"(?P<body>\{{(?:[^{{}}\"'`/]++|(?&str)|{_COMMENT}|[\"'`/]|(?&body))*+\}})",
+    rf"[^\n(){{}};]*?\b(?P<name>[\w$]++)[ \t]*(?:<[^\n()]*>)?[ \t]*{_ARGS}[^{{}};\n]*)"
+    rf"(?P<body>\{{(?:[^{{}}\"'`/]++|{_STRING}|{_COMMENT}|[\"'`/]|(?&body))*+\}})",
     regex.MULTILINE,
 )
 #: Python: comments and decorators, the signature, the docstring, and the indented body.
 INDENTED = regex.compile(
-    rf"(?(DEFINE){_STRING})"
     r"(?P<head>(?:^[ \t]*(?:\#[^\n]*|@[\w.]+(?:\([^\n]*\))?)[ \t]*\n)*+)"
     rf"(?P<sig>^(?P<indent>[ \t]*)(?:async[ \t]+)?def[ \t]+(?P<name>\w+)[ \t]*{_ARGS}[^\n:]*:)[ \t]*(?:\#[^\n]*)?"
-    r"(?P<body>(?:\s*?\n(?P=indent)[ \t]+[rRuUbB]{0,2}(?P<doc>\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*+\"(?=[ \t]*(?:\n|$))|'(?:[^'\\\n]|\\.)*+'(?=[ \t]*(?:\n|$))))?"
+    rf"(?P<body>(?:\s*?\n(?P=indent)[ \t]+[rRuUbB]{{0,2}}{_DOC})?"
     r"(?:[^\n]*(?:\n(?:[ \t]*(?=\n)|(?P=indent)[ \t]+))?)*)",
     regex.MULTILINE | regex.DOTALL,
 )
+#: The docstring after the first line of a definition whose body has no usual form.
+_QUOTED = regex.compile(rf"[^\n]*:[ \t]*\n\s*[rRuUbB]{{0,2}}{_DOC}", regex.DOTALL)
 _MARKED = regex.compile(rf"{_COMMENT}|^[ \t]*\#(?!!?\[)[^\n]*", regex.MULTILINE)
 
 
+def _above(lines: list[str], line: int) -> int:
+    """The first line of the comments and marks that stand directly above a line, whole block comments included."""
+    while line > 0:
+        text = lines[line - 1].strip()
+        if text.endswith("*/"):
+            first = line - 1
+            while first > 0 and "/*" not in lines[first]:
+                first -= 1
+            if not lines[first].lstrip().startswith("/*"):
+                return line
+            line = first
+        elif text.startswith(("//", "#", "@")):
+            line -= 1
+        else:
+            return line
+    return line
+
+
 def capture(text: str, name: str, language: str | None, line: int) -> tuple[str, str]:
     """(documentation, code) of the definition of name in text; line: its index in the text's lines."""
     python = language == "python"
-    pattern = INDENTED if python else BRACES
     lines = text.split("\n")
-    try:
-        for found in pattern.finditer(text, timeout=TIMEOUT):
-            if found["name"] != name:
-                continue
-            first = text.count("\n", 0, found.start("sig"))
-            if not (first <= line <= first + found["sig"].count("\n")):
-                continue
+    line = min(max(line, 0), len(lines) - 1)
+    # a signature has its name in its first line: the nearest one that holds it
+    above = _above(lines, next((i for i in range(line, -1, -1) if name in lines[i]), line))
+    found = (INDENTED if python else BRACES).match(text, sum(map(len, lines[:above])) + above)
+    if found and found["name"] == name:
+        first = text.count("\n", 0, found.start("sig"))
+        if first <= line <= first + found["sig"].count("\n"):
             doc = found["doc"] if python and found["doc"] else "\n".join(_MARKED.findall(found["head"]))
             return doc, found.group().strip("\n")
-    except TimeoutError:
-        pass
-    above = line
-    while above > 0 and regex.match(r"\s*(?://|/\*|\*|#|@)", lines[above - 1]):
-        above -= 1
+    above = _above(lines, line)
     doc = "\n".join(x for x in lines[above:line] if not regex.match(r"\s*(?:@[\w.]+(?:\(.*)?$|#!?\[)", x))
-    if python:
-        quoted = regex.match(r"[^\n]*:[ \t]*\n\s*[rRuUbB]{0,2}(\"\"\"(?:.*?)\"\"\"|'''(?:.*?)''')", "\n".join(lines[line:]), regex.DOTALL)
-        doc = quoted[1] if quoted else doc
-    return doc, "\n".join(lines[above:])
+    rest = "\n".join(lines[line:])
+    if python and (quoted := _QUOTED.match(rest)):
+        doc = quoted["doc"]
+    return doc, "\n".join([*lines[above:line], rest])
 
 
 _EDGES = regex.compile(r"^\s*(?:/\*+!?|\*+/|//+!?|#+|\*(?!\*)|\"{3}|'{3})\s?|\s*(?:\*+/|\"{3}|'{3})\s*$")

@@ -19,12 +19,12 @@ Texts of any length are scored whole. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +39,8 @@ SMOOTHING = 0.02
 SURE = 0.9
 #: Confidence in the language of the label up to which a sentence is not used to fit the model.
 FOREIGN = 1e-3
+#: Fewer words and letters, or letters of a script without spaces, tell too little to be called a sentence.
+LEAST_WORDS, LEAST_LETTERS, LEAST_WIDE = 3, 12, 5
 #: A log-likelihood ratio counts by this factor, as n-grams of one word are not independent.
 TEMPER = 0.12
 
@@ -56,90 +58,156 @@ NAMES = {
     "sv": "sv swe swedish svenska",
 }
 
-_FENCE = regex.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", regex.MULTILINE | regex.DOTALL)
-_NOISE = regex.compile(
-    r"`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|^[ \t]*[a-z]+(?:\([^)\n]*\))?!?:(?=\s)"
-    r"|[@#][A-Za-z0-9_][\w-]*|(?<![A-Za-z0-9_])[A-Za-z0-9_]*[0-9_][A-Za-z0-9_]*|\b[a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Z][a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(\))?"
-    r"|(?:\.{0,2}/)?[A-Za-z0-9_][\w.-]*(?:/[A-Za-z0-9_][\w.-]*)+(?::\d+)?|\(\s*\)",
-    regex.MULTILINE,
+_FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
+#: What is no running text, left to right; what can begin in a word is looked for at its start only.
+_NOISE = re.compile(
+    r"`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|(?:(?<!\S)|(?<=[`>\])]))\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|[@#][A-Za-z0-9_][\w-]*|\(\s*\)"
+    r"|(?<![A-Za-z0-9_])(?:^[ \t]*[a-z]+(?:\([^)\n]*\))?!?:(?=\s)|[A-Za-z0-9_]*[0-9_][A-Za-z0-9_]*|\b[a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Z][a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(\))?"
+    r"|(?:\.{0,2}/)?[A-Za-z0-9_][\w.-]*(?:/[A-Za-z0-9_][\w.-]*)+(?::\d+)?)",
+    re.MULTILINE,
 )
-_LOG = regex.compile(r"^\s*(?:\[?\d{1,4}[-:/.]\d{1,2}[-:/.]\d{1,4}[^\n]*|\$ [^\n]*|at [\w.$]+\([^\n]*|Traceback[^\n]*|File \"[^\n]*)$")
-_CODE_LINE = regex.compile(
-    r"(?:[;{}]|\)\s*;?)\s*$|^\s*(?:for|if|while)\b.*\b(?:in|==|!=|<|>)\b?.*:\s*\S*\(|^\s*[\w.\[\]\"']+\s*(?::=|[-+*/]?=)(?!=)\s*\S|^\s*(?:const|let|var|return|import|from|def|func|fn|class|use|package)\s[^.]*[(={:;]|^\w+ctl\s"
+_LOG = re.compile(r"^\s*(?:\[?\d{1,4}[-:/.]\d{1,2}[-:/.]\d{1,4}[^\n]*|\$ [^\n]*|at [\w.$]+\([^\n]*|Traceback[^\n]*|File \"[^\n]*)$")
+_CODE_LINE = re.compile(
+    r"(?:[;{}]|\)\s*;?)\s*$|^\s*(?:for|if|while)\b.*\b(?:in|==|!=|<|>).*:\s*\S*\(|^\s*[\w.\[\]\"']+\s*(?::=|[-+*/]?=)(?!=)\s*\S|^\s*(?:const|let|var|return|import|from|def|func|fn|class|use|package)\s[^.]*[(={:;]|^\w+ctl\s"
 )
-_HEADING = regex.compile(r"^\s*#{1,6}\s")
-_LEAD = regex.compile(r"^[\s>*+|•·-]*(?:\d+[.)]\s+)?(?:\[[ x]\]\s*)?")
-_BREAK = regex.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+(?=[^\p{Ll}\s])|(?<=[。！？])|\s+[/|]\s+|\t+|\|")
-_LETTERS = regex.compile(r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-_WIDE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
+_HEADING = re.compile(r"^\s*#{1,6}\s")
+_LEAD = re.compile(r"^[\s>*+|•·-]*(?:\d+[.)]\s+)?(?:\[[ x]\]\s*)?")
+#: Where a sentence may end; after a stop and white space it does not if a small letter follows.
+_BREAK = re.compile(r"([.!?…][\"')\]»”]*\s+)(?=\S)|[。！？]|\s+[/|]\s+|\t+|\|")
+#: Without any of these a line holds no noise.
+_MAY_BE_NOISE = re.compile(r"[`@#<\[/_0-9(:]|\w\.\w|[a-z][A-Z]|www\.")
+_WIDE = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
+_LOOSE = re.compile(r"['’]{2,}|(?<![^ \n])['’]|['’](?![^ \n])")
+_REPEATED = re.compile(r"([^ \n])\1{5}")
 
 
 COUNTS = "lang string, bucket long, n long"
 Model = tuple[list[str], np.ndarray]
 
 
+class _Folding(dict):
+    """What each character is worth: letters in lower case without accents, apostrophes and line feeds as they are, else a space."""
+
+    def __missing__(self, code: int) -> str:
+        parts = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", chr(code)).lower())
+        kept = [c for c in parts if unicodedata.category(c) != "Mn"]
+        own = self[code] = "".join(c if c in "'’" or unicodedata.category(c)[0] in "LM" else " " for c in kept)
+        return own
+
+
+_FOLDING = _Folding({10: "\n"})
+
+
+def normalize_all(texts: list[str]) -> list[str]:
+    """Of each text the words in lower case without accents, one space around each; long runs of one letter are no words."""
+    folded = "\n".join(t.replace("\n", " ") for t in texts).translate(_FOLDING)
+    if "'" in folded or "’" in folded:
+        folded = _LOOSE.sub(" ", folded)
+    out = []
+    for line in folded.split("\n"):
+        words = line.split()
+        if _REPEATED.search(line):
+            words = [w for w in words if len(w) < 6 or len(set(w)) > 1]
+        out.append(f" {' '.join(words)} " if words else "")
+    return out
+
+
 def normalize(text: str) -> str:
-    """Words in lower case without accents, one space around each; runs of one letter shortened."""
-    text = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", text).lower())
-    words = _LETTERS.findall("".join(c for c in text if unicodedata.category(c) != "Mn"))
-    words = [w for w in words if len(w) < 6 or len(set(w)) > 1]
-    return f" {' '.join(words)} " if words else ""
+    return normalize_all([text])[0]
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalized words) of each sentence of running text; offsets are in the text."""
+def _blank(found: re.Match) -> str:
+    """As many spaces, which keeps the offsets."""
+    return " " * len(found[0]) if "\n" not in found[0] else re.sub(r"[^\n]", " ", found[0])
+
+
+def _breaks(body: str, first: int) -> list[int]:
+    marks = [first]
+    for found in _BREAK.finditer(body, first):
+        if not found[1] or "\t" in found[1] or unicodedata.category(body[found.end()]) != "Ll":
+            marks.append(found.end())
+    return [*marks, len(body)]
+
+
+def raw_sentences(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, running text) of what may be a sentence; offsets are in the text, noise is blanked out."""
     out = []
-    blank = lambda m: regex.sub(r"[^\n]", " ", m.group())  # noqa: E731  keeps the offsets
-    text = _FENCE.sub(blank, text.replace("\r", "\n"))
+    text = text.replace("\r", "\n")
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub(_blank, text)
     at = 0
     for line in text.split("\n"):
         start, at = at, at + len(line) + 1
-        if not line.strip() or _HEADING.match(line) or _LOG.match(line) or _CODE_LINE.search(line):
+        if not line or line.isspace() or _HEADING.match(line) or _LOG.match(line) or _CODE_LINE.search(line):
             continue
-        body = _NOISE.sub(blank, line)
-        first = _LEAD.match(body).end()
-        marks = [first, *(m.end() for m in _BREAK.finditer(body, first)), len(body)]
-        for low, high in zip(marks, marks[1:]):
-            words = normalize(body[low:high])
-            if words.count(" ") - 1 >= 3 and len(words) >= 14 or len(_WIDE.findall(words)) >= 5:
-                out.append((start + low, start + high, words))
+        body = _NOISE.sub(_blank, line) if _MAY_BE_NOISE.search(line) else line
+        marks = _breaks(body, _LEAD.match(body).end())
+        out.extend((start + low, start + high, body[low:high]) for low, high in zip(marks, marks[1:]))
     return out
 
 
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all n-grams, number of them in each text)."""
-    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    owner = np.cumsum(np.concatenate(([0], codes[:-1] == 10))) if len(codes) else np.zeros(0, dtype=np.int64)
-    found, owners = [], []
+def sentences_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+    """(start, end, normalized words) of each sentence of running text, for each text.
+
+    Less than ``LEAST_WORDS`` words or ``LEAST_LETTERS`` letters, or of scripts without spaces ``LEAST_WIDE``
+    letters, are no sentence.
+    """
+    found = [raw_sentences(t) for t in texts]
+    words = iter(normalize_all([body for own in found for _, _, body in own])) if any(found) else iter(())
+    out = []
+    for own in found:
+        said = ((start, end, next(words)) for start, end, _ in own)
+        out.append([x for x in said if x[2].count(" ") > LEAST_WORDS and len(x[2]) >= LEAST_LETTERS + 2 or len(_WIDE.findall(x[2])) >= LEAST_WIDE])
+    return out
+
+
+def sentences(text: str) -> list[tuple[int, int, str]]:
+    return sentences_of([text])[0]
+
+
+def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size of n-gram: their buckets in order, and where those of each text begin (with the end of the last)."""
+    codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.flatnonzero(codes == 10)
+    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    widths = ends - starts
+    wide = codes.astype(np.uint64) + np.uint64(1)
     rolling = np.zeros(len(codes), dtype=np.uint64)
+    # the place of the last line feed up to each place: an n-gram that reaches over one is none
+    feed = np.zeros(len(codes), dtype=np.int32)
+    feed[ends] = 1
+    feed = np.cumsum(feed, dtype=np.int32)
     for n in range(1, max(SIZES) + 1):
         if len(codes) < n:
-            break
-        rolling = rolling[: len(codes) - n + 1] * np.uint64(0x100000001B3) + codes[n - 1 :] + np.uint64(1)
-        same = owner[: len(rolling)] == owner[n - 1 :]
-        inner = same & (codes[n - 1 :] != 10) & (codes[: len(rolling)] != 10)
-        if n in SIZES:
-            mixed = rolling[inner] ^ np.uint64(n * 0x9E3779B9)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            found.append((mixed >> np.uint64(40)) % np.uint64(BUCKETS))
-            owners.append(owner[: len(rolling)][inner])
-    if not found:
-        return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-    where = np.concatenate(owners)
-    order = np.argsort(where, kind="stable")
-    return np.concatenate(found)[order].astype(np.int64), np.bincount(where, minlength=len(texts))[: len(texts)]
+            rolling = rolling[:0]
+            yield np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
+            continue
+        rolling = rolling[: len(codes) - n + 1] * np.uint64(0x100000001B3) + wide[n - 1 :]
+        if n not in SIZES:
+            continue
+        inner = (feed[n - 1 :] == feed[: len(rolling)]) & (codes[: len(rolling)] != 10)
+        mixed = rolling[inner] ^ np.uint64(n * 0x9E3779B9)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        buckets = ((mixed >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+        yield buckets, np.concatenate(([0], np.cumsum(np.maximum(widths - n + 1, 0))))
+
+
+def tally(words: list[str]) -> np.ndarray:
+    """How often each bucket occurs in normalized texts."""
+    return sum((np.bincount(buckets, minlength=BUCKETS) for buckets, _ in ngrams([w for w in words if w])), np.zeros(BUCKETS, dtype=np.int64))
 
 
 def counted(lang: str, words: list[str]) -> pd.DataFrame:
     """(lang, bucket, n) of normalized texts in one language."""
-    buckets, n = np.unique(ngrams([w for w in words if w])[0], return_counts=True)
-    return pd.DataFrame({"lang": lang, "bucket": buckets, "n": n})
+    n = tally(words)
+    buckets = np.flatnonzero(n)
+    return pd.DataFrame({"lang": lang, "bucket": buckets, "n": n[buckets]})
 
 
 def _count_samples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lang, own in batch.groupby("lang"):
-            yield counted(lang, [normalize(_NOISE.sub(" ", t)) for t in own.text])
+            yield counted(lang, normalize_all([_NOISE.sub(" ", t) for t in own.text]))
 
 
 def matrix(counts: pd.DataFrame) -> Model:
@@ -157,11 +225,13 @@ def matrix(counts: pd.DataFrame) -> Model:
 def agreeing(langs: list[str], logs: np.ndarray, labels: list[str], texts: list[str]) -> dict[str, list[str]]:
     """Normalized sentences by language, of documents whose label names the language of most of the text."""
     out: dict[str, list[str]] = {}
-    for label, text in zip(labels, texts):
-        said = [w for _, _, w in sentences(text)]
-        if not said or label not in langs:
+    known = [(label, text) for label, text in zip(labels, texts) if label in langs]
+    spoken = [[w for _, _, w in own] for own in sentences_of([text for _, text in known])]
+    every, at = confidence(score([w for said in spoken for w in said], logs)), 0
+    for (label, _), said in zip(known, spoken):
+        odds, own, at = every[at : at + len(said)], langs.index(label), at + len(said)
+        if not said:
             continue
-        odds, own = confidence(score(said, logs)), langs.index(label)
         if np.average(odds.argmax(axis=1) == own, weights=[len(w) for w in said]) > 0.5:
             out.setdefault(label, []).extend(w for w, p in zip(said, odds[:, own]) if p > FOREIGN)
     return out
@@ -178,14 +248,14 @@ def fit(samples: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> M
         total = np.zeros((BUCKETS, len(model.value[0])), dtype=np.int64)
         for batch in batches:
             for lang, words in agreeing(*model.value, batch.named, batch.text).items():
-                total[:, model.value[0].index(lang)] += np.bincount(ngrams(words)[0], minlength=BUCKETS)
+                total[:, model.value[0].index(lang)] += tally(words)
         bucket, column = np.nonzero(total)
         if not len(bucket):
             return
         yield pd.DataFrame({"lang": np.array(model.value[0], dtype=object)[column], "bucket": bucket, "n": total[bucket, column]})
 
     labelled = documents.select("doc_id", named(F.col("lang")).alias("named"), "text").where("named IS NOT NULL AND text IS NOT NULL")
-    share = min(1.0, fit_rows / max(1, labelled.count()))
+    share = min(1.0, fit_rows / max(1, documents.where(named(F.col("lang")).isNotNull()).count()))  # reads no texts
     taken = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("named", "text")
     more = spread(taken).mapInPandas(count, COUNTS).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     return matrix(pd.concat([counts, more]) if len(more) else counts)
@@ -194,14 +264,13 @@ def fit(samples: DataFrame, documents: DataFrame, fit_rows: int = FIT_ROWS) -> M
 def score(words: list[str], logs: np.ndarray) -> np.ndarray:
     """Log-likelihood per text and language."""
     out = np.zeros((len(words), logs.shape[1]))
-    step = 2000
+    step = 1000
     for low in range(0, len(words), step):
-        buckets, sizes = ngrams(words[low : low + step])
-        ends = np.cumsum(sizes)
-        # sums of a whole block at once; a text without n-grams stays at zero
-        sums = np.zeros((len(buckets) + 1, logs.shape[1]))
-        np.cumsum(logs[buckets], axis=0, out=sums[1:], dtype=np.float64)
-        out[low : low + step] = sums[ends] - sums[ends - sizes]
+        own = out[low : low + step]
+        for buckets, starts in ngrams(words[low : low + step]):
+            some = np.flatnonzero(np.diff(starts))  # a text without n-grams stays at zero
+            if len(some):
+                own[some] += np.add.reduceat(np.take(logs, buckets, axis=0), starts[some], axis=0)
     return out
 
 
@@ -223,8 +292,8 @@ def segments(documents: DataFrame, samples: DataFrame) -> DataFrame:
         langs, logs = model.value
         for batch in batches:
             rows, words = [], []
-            for doc_id, label, text in zip(batch.doc_id.astype("Int64"), batch.lang, batch.text):
-                for number, (start, end, said) in enumerate(sentences(text)):
+            for doc_id, label, own in zip(batch.doc_id.astype("Int64"), batch.lang, sentences_of(list(batch.text))):
+                for number, (start, end, said) in enumerate(own):
                     rows.append((doc_id, label, number, start, end, len(said)))
                     words.append(said)
             if not rows:
@@ -260,6 +329,15 @@ def languages(found: DataFrame, sure: float = SURE) -> DataFrame:
     )
 
 
+def coverage(documents: DataFrame, found: DataFrame, sure: float = SURE) -> DataFrame:
+    """(state, docs): how many documents have no text, no sentence, one language, or several."""
+    own = languages(found, sure).groupBy("doc_id").agg(F.count_distinct("lang").alias("langs"))
+    text = documents.groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("text").rlike(r"\S"), F.lit(False))).alias("said"))
+    joined = text.join(own, text.doc_id.eqNullSafe(own.doc_id), "left")
+    state = F.when(~F.col("said"), "no text").when(F.col("langs").isNull(), "no sentence").when(F.col("langs") == 1, "one language").otherwise("several languages")
+    return joined.groupBy(state.alias("state")).agg(F.count("*").alias("docs"))
+
+
 def wrong_labels(documents: DataFrame, samples: DataFrame, sure: float = SURE) -> DataFrame:
     """(doc_id, lang): the languages of each document whose label is missing or wrong, or that has several."""
     own = languages(segments(documents, samples), sure)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.llm import docpairs, handwritten, language, mixing, similar, splitting, tokens
@@ -84,6 +84,32 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(spark, sf_dir)
 
 
+@LLM.add(
+    "p4_cover",
+    """
+SELECT DISTINCT chunk_id, length(raw_content) AS chars, TRUE AS begins, 0 AS gaps, 0 AS too_long, 0 AS too_wide, 0 AS standing,
+  CASE WHEN list_max(list_transform(string_split(raw_content, chr(10)), lambda x: length(x) - CASE WHEN ends_with(x, chr(13)) THEN 1 ELSE 0 END)) <= 800 THEN 0 ELSE -1 END AS broken_lines
+FROM chunks_v2 WHERE length(raw_content) > 800
+""",
+)
+def p4_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of each chunk: they cover it, keep limit and overlap, go on, and leave lines whole if those fit."""
+    pieces = _split(spark, sf_dir)
+    before = F.lag("end_char").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    after = F.lead("start_char").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    # what follows the cut is in the next piece, behind what both share
+    follows = F.lead("piece").over(Window.partitionBy("chunk_id").orderBy("piece_no"))
+    rest = F.expr("substring(follows, end_char - after + 1, 2)")
+    whole = F.col("piece").endswith("\n") | rest.startswith("\n") | (rest == "\r\n") | F.col("after").isNull()
+    rows = pieces.withColumns({"before": before, "after": after, "follows": follows})
+    counts = {
+        "gaps": F.col("start_char") > F.col("before"), "too_long": (F.length("piece") > splitting.LIMIT) | (F.length("piece") != F.col("end_char") - F.col("start_char")),
+        "too_wide": F.col("before") - F.col("start_char") > splitting.OVERLAP, "standing": F.col("end_char") <= F.col("before"),
+    }
+    found = rows.groupBy("chunk_id").agg(F.max("end_char").alias("chars"), (F.min("start_char") == 0).alias("begins"), *[F.count_if(c).cast("int").alias(n) for n, c in counts.items()], F.count_if(~whole).cast("int").alias("broken"), F.max("cut").alias("kind"))
+    return found.select("chunk_id", "chars", "begins", *counts, F.when(F.col("kind") == "line", F.col("broken")).otherwise(-1).alias("broken_lines"))
+
+
 @LLM.add("p6_ids")
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -99,6 +125,12 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.segments(table(spark, sf_dir, "documents", "doc_id", "lang", "text"), table(spark, sf_dir, "lang_samples", "lang", "text"))
 
 
+@LLM.add("p8_coverage")
+def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents", "doc_id", "lang", "text")
+    return language.coverage(documents, language.segments(documents, table(spark, sf_dir, "lang_samples", "lang", "text")))
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     # the sizes are read by the totals and by the sampling; encoding the corpus twice would cost more than writing them
     sizes = cut(mixing.token_sizes(table(spark, sf_dir, "documents", "doc_id", "source", "text")))

@@ -15,21 +15,50 @@ def brute_best(values, low, high):
     return max(range(low, high + 1), key=lambda i: (values[i], i))
 
 
-@settings(deadline=None, max_examples=60)
-@given(st.text(alphabet="ab \n\r;.{}é字́", max_size=600), st.integers(20, 60))
-def test_pieces_match_brute_force(text, limit):
-    overlap = limit // 5
+def brute_pieces(text, limit, overlap):
     values = splitting.strengths(splitting._codes(text)).tolist()
-    expected, start = [], 0
-    while text:
-        if len(text) - start <= limit:
-            expected.append((start, len(text)))
-            break
-        cut = brute_best(values, start + limit // 2, start + limit)
-        expected.append((start, cut))
-        back = range(max(cut - overlap, start + 1), max(cut, start + 2))
-        start = min(back, key=lambda i: (-values[i], i))
-    assert splitting.pieces(text, limit, overlap) == expected
+    values[-1] = splitting.LINE_END
+    out, start, done, line = [], 0, 0, splitting.LINE_END
+    while len(text) - start > limit:
+        cut = brute_best(values, max(start + limit // 2, done + 1), start + limit)
+        ends = [i for i in range(max(done, start) + 1, start + limit + 1) if values[i] >= line]
+        if values[cut] < line and ends:
+            cut = max(ends, key=lambda i: (values[i], i))
+        out.append((start, cut))
+        least = max(cut - overlap, start + 1)
+        back = brute_best(values, least, cut - 1) if least < cut else cut
+        back = least if least < cut and values[back] <= splitting.NONE else back
+        ends = [i for i in range(cut + 1, min(cut + limit, len(text)) + 1) if values[i] >= line]
+        if ends and least < cut and ends[0] > back + limit:
+            least = max(ends[0] - limit, least)
+            back = brute_best(values, least, cut)
+            back = least if values[back] <= splitting.NONE else back
+        start, done = back, cut
+    return [*out, (start, len(text))] if text else []
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.text(alphabet="ab \n\r;.{}é字\u0301", max_size=600), st.integers(20, 60))
+def test_pieces_match_brute_force(text, limit):
+    assert splitting.pieces(text, limit, limit // 5) == brute_pieces(text, limit, limit // 5)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["a", "b c", "\n", "\r\n", "\n\n", "    ", "x" * 18, "y" * 20, "e\u0301", "\u200d", ";", "}\n"]), max_size=80), st.integers(0, 9), st.sampled_from([1, 100, 1 << 16]))
+def test_lines_that_fit_are_never_cut(parts, overlap, block):
+    text = "".join(parts)
+    found = splitting.pieces(text, 20, overlap, block)
+    fits = all(len(x) - x.endswith("\r") <= 20 for x in text.split("\n"))
+    if len(text) > 20:
+        assert all(splitting.at_line_end(text, end) for _, end in found) == fits
+        assert found[0][0] == 0 and found[-1][1] == len(text)
+    for (a, b), (c, d) in zip(found, found[1:]):
+        assert a < c <= b < d and b - c <= overlap and 0 < b - a <= 20
+
+
+def test_steps_back_to_the_right():
+    text = ("x" * 30 + "\n") * 200
+    assert all(b - c == 31 for (_, b), (c, _) in zip(splitting.pieces(text), splitting.pieces(text)[1:]))
 
 
 def test_pieces_cover_and_overlap():
@@ -75,7 +104,8 @@ OWN = tokens.encoder()
 
 
 def by_tree(text, size):
-    return tokens.tree(text, [tokens.words(text[i : i + size], i, OWN) for i in range(0, len(text), size)], OWN)
+    parts = [tokens.words(text[i : i + size], i, OWN) for i in range(0, len(text), size)]
+    return tokens.tree(text, 0, parts, OWN)[3].tolist() if parts else []
 
 
 @settings(deadline=None, max_examples=150)
@@ -103,6 +133,16 @@ def test_ids_decode_to_the_text(spark, clashing):
     assert tokens.encode_corpus(frame.limit(0)).count() == 0
 
 
+def test_one_text_of_twenty_megabytes(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice(["word ", "some", "  ", "\n", "é日本 ", "x" * 9, "'ll "]) for _ in range(4_600_000))
+    text += "a" * 200_000 + " " * 50_000 + text[:1_000_000]  # a word and a blank run longer than many pieces
+    assert len(text.encode()) > 20_000_000
+    out = tokens.encode_corpus(spark.createDataFrame([(1, text), (2, "b")], "doc_id long, text string")).collect()
+    ids = {r.doc_id: r.ids for r in out}
+    assert ids[1] == OWN.encode_ordinary(text) and ids[2] == OWN.encode_ordinary("b")
+
+
 def test_same_ids_as_the_other_library():
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file(tokens.TOKENIZERS + "/byte_bpe_50k.json")
@@ -155,6 +195,22 @@ def test_capture(lang, text, name, line, said):
     assert said in doc and name in code and "other" not in code and "def g" not in code
 
 
+def test_comment_is_whole_whether_the_pattern_fits_or_not():
+    above = "/* Says it\n   in lines without a star.\n*/\n"
+    for text in ("function f(a) {\n}", "const f = (a) => {\n};", "function f(a) {\n  never closed"):
+        doc, code = docpairs.capture(above + text, "f", "typescript", 3)
+        assert "in lines" in doc and text.split("\n")[0] in code
+    assert docpairs.capture("def f(a) -> {}:\n    'Kept in one line.'", "f", "python", 0)[0] == "'Kept in one line.'"
+    assert docpairs.capture("// A.\nfunction f(\n  a,\n  b\n) {\n}", "f", "typescript", 2)[0] == "// A."
+
+
+def test_long_definitions_need_no_clock():
+    body = "if (x) { y('}'); }\n" * 4000
+    doc, code = docpairs.capture("/** Long. */\nfunction f(a) {\n" + body + "}\nfunction g() {}", "f", "typescript", 1)
+    assert "Long" in doc and code.endswith("}\n}") and "g()" not in code
+    assert "Open" in docpairs.capture("// Open.\nfunction f(a) {\n" + "if (x) {\n" * 4000, "f", "typescript", 1)[0]
+
+
 def test_capture_needs_attachment():
     assert docpairs.capture("// Far away.\n\nfunction f() {\n}", "f", "javascript", 2)[0] == ""
     doc, code = docpairs.capture("// Near.\nfunction f() {\n  never closed", "f", "javascript", 1)
@@ -204,11 +260,19 @@ def test_ngram_scores_match_brute_force():
     texts = [" one two ", "", " drei ", " 日本 "]
     whole = language.score(texts, logs)
     for i, t in enumerate(texts):
-        buckets, sizes = language.ngrams([t])
-        assert sizes[0] == sum(max(0, len(t) - n + 1) for n in language.SIZES)
+        buckets = np.concatenate([b for b, _ in language.ngrams([t])])
+        assert len(buckets) == sum(max(0, len(t) - n + 1) for n in language.SIZES)
         assert np.allclose(whole[i], logs[buckets].sum(axis=0), atol=1e-3)
 
 
+def test_coverage_counts_what_has_no_language(spark):
+    samples = spark.read.parquet("/root/testdata/sf0.01/lang_samples.parquet")
+    en = "The search endpoint fails when the chunk cache is empty, although the log claims otherwise."
+    docs = spark.createDataFrame([(1, "en", en), (2, None, None), (3, "en", " "), (4, "en", "Too short."), (5, "en", "x = load(y, 2);")], "doc_id long, lang string, text string")
+    out = {r.state: r.docs for r in language.coverage(docs, language.segments(docs, samples)).collect()}
+    assert out == {"one language": 1, "no text": 2, "no sentence": 2}
+
+
 def test_held_out_accuracy(spark):
     """Fitted on half of the samples, the other half is told."""
     import pandas as pd
