@@ -171,19 +171,42 @@ def source(seed, n=120):
     return "\n".join(f"    value_{rng.integers(1e6)} = call_{rng.integers(1e6)}(item_{rng.integers(1e6)}, {rng.integers(100)})" for _ in range(n))
 
 
-def test_copies_in_unrelated_repositories(spark):
+def _copies(spark, rows, needs=(), **options):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(f"{r}{p}", r, p, t, "python") for r, p, t in rows], "chunk_id string, repo_id string, file_path string, raw_content string, language string")
+    links = spark.createDataFrame(list(needs), "repo_id string, depends_on_repo_id string")
+    found = handwritten.copied_files(frame.unionByName(frame.limit(3)), links, **options)
+    named = frame.select("repo_id", "file_path", handwritten.file_key().alias("file")).join(found, "file")
+    return {(r.repo_id, r.file_path) for r in named.select("repo_id", "file_path", F.lit(1)).collect()}
+
+
+@pytest.mark.parametrize("heavy_share", [0.0005, 1.0])
+def test_copies_in_unrelated_repositories(spark, heavy_share):
     copy = source(1)
     rows = [(f"r{i}", "lib/helper.py", copy.replace("    ", "  ") + f"\n# local note {i}") for i in range(5)]
     rows += [(f"r{i}", "own.py", source(100 + i)) for i in range(5)] + [("r0", "part.py", copy[: len(copy) // 3] + source(77, 200))]
-    shared = source(2)
-    rows += [(f"s{i}", "shared.py", shared) for i in range(5)]
-    frame = spark.createDataFrame(rows, "repo_id string, file_path string, raw_content string")
-    needs = spark.createDataFrame([(f"s{i}", "s0") for i in range(1, 5)], "repo_id string, depends_on_repo_id string")
-    from pyspark.sql import functions as F
+    rows += [(f"s{i}", "shared.py", source(2)) for i in range(5)]  # from s0, on which all others depend
+    rows += [(f"s{i}", "lib/other.py" if i else "vendor/other.py", source(3)) for i in range(5)]  # s0 has it from outside too
+    rows += [("r9", "bundle.py", "\n".join(source(i) for i in (1, 200, 201, 202, 203)))]  # holds the copy, but is mostly its own
+    rows += [(f"t{i}", "edited.py", source(4, 60) + source(300 + i, 5)) for i in range(3)] + [(f"u{i}", "twice.py", source(5)) for i in range(2)]
+    expected = {(f"r{i}", "lib/helper.py") for i in range(5)} | {(f"s{i}", "lib/other.py" if i else "vendor/other.py") for i in range(5)} | {(f"t{i}", "edited.py") for i in range(3)}
+    assert _copies(spark, rows, [(f"s{i}", "s0") for i in range(1, 5)], heavy_share=heavy_share) == expected
 
-    found = handwritten.copied_files(frame, needs)
-    named = frame.select("repo_id", "file_path", F.xxhash64("repo_id", "file_path").alias("file")).join(found, "file")
-    assert {(r.repo_id, r.file_path) for r in named.collect()} == {(f"r{i}", "lib/helper.py") for i in range(5)}
+
+def test_small_copies_are_compared_as_a_whole(spark):
+    small = "def f(alpha, beta):\n    assert beta in alpha, alpha\n    gamma = alpha[beta] + 1\n    return [gamma, alpha, beta, f(gamma, 2)]\n"
+    rows = [(f"r{i}", "a.py", small.replace("1", str(i))) for i in range(3)] + [("r4", "b.py", small + "x = 1\n")] + [(f"r{i}", "c.py", "x = 1\n") for i in range(9)]
+    assert _copies(spark, rows) == {(f"r{i}", "a.py") for i in range(3)}
+
+
+def test_judge_names_a_copy_without_any_mark(spark):
+    paths = [(f"r{i}", f"src/part{i}/tool.py") for i in range(4)]
+    files = spark.createDataFrame([(r, p, 100, 1.0) for r, p in [*paths, ("r0", "own.py")]], "repo_id string, file_path string, size_bytes long, last_modified double")
+    rows = [(f"c{i}{j}", r, p, source(6)[j * 700 : (j + 1) * 700], "python", "function", 1 + 40 * j) for i, (r, p) in enumerate(paths) for j in range(4)] + [("o", "r0", "own.py", source(7), "python", "function", 1)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, repo_id string, file_path string, raw_content string, language string, chunk_type string, start_line int")
+    out = handwritten.judge(files, chunks, spark.createDataFrame([], "repo_id string, depends_on_repo_id string")).collect()
+    assert {(r.repo_id, r.file_path) for r in out} == set(paths) and {(r.reason, r.evidence) for r in out} == {("third-party", "fingerprints")}
 
 
 def test_winnow_matches_brute_force():
