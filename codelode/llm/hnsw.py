@@ -1,22 +1,25 @@
 """A hierarchical navigable small-world graph over one shard of vectors, kept as flat neighbour arrays.
 
-Nodes are put in in waves and searched in lockstep: each step takes the best open candidates of all
-queries of a block, looks up their neighbours in the flat arrays, and adds up all products at once.
+A shard is small, so the candidates for the links of a node are the nearest nodes of its layer, found block by
+block; of those, the ones in different directions become its links. Queries are searched in lockstep: each step
+takes the best open candidates of all queries of a block, looks up their neighbours in the flat arrays, and adds
+up all products at once. What a block needs stays the same however large the shard is.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LINKS = 12  # links of a node in an upper layer; twice as many in the lowest
-BLOCK = 512  # queries that are searched in lockstep
+LINKS = 16  # links of a node in an upper layer; twice as many in the lowest
+BLOCK = 512  # queries that are searched in lockstep, fewer in a shard of more than CELLS / BLOCK vectors
+CELLS = 1 << 22  # entries of a block's arrays over all nodes
 AT_ONCE = 4  # candidates of a query that are looked up in one step
 
 
 class Graph:
     """Vectors (rows of length one) with the neighbours of each in each layer; -1 fills what is missing."""
 
-    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = 32, seed: int = 0) -> None:
+    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = 64, seed: int = 0) -> None:
         self.vectors, self.links, self.breadth = np.ascontiguousarray(vectors, dtype=np.float32), links, breadth
         n = len(vectors)
         draws = np.random.default_rng(seed)
@@ -29,36 +32,26 @@ class Graph:
         for layer in range(top, -1, -1):
             self._fill(layer, order[self.level[order] >= layer])
 
+    def _block(self) -> int:
+        return max(1, min(BLOCK, CELLS // max(1, len(self.vectors))))
+
     def _fill(self, layer: int, nodes: np.ndarray) -> None:
-        """Links the nodes of a layer, in waves that double until they are a block; those of the layer above are in it too."""
-        done = min(len(nodes), 4 * self.links)
-        self._link(layer, nodes[:done], None)
-        while done < len(nodes):
-            wave = nodes[done : done + min(done, BLOCK)]
-            start = self.descend(self.vectors[wave], layer) if layer + 1 < len(self.near) else np.full((len(wave), 1), self.entry)
-            self._link(layer, wave, self.beam(self.vectors[wave], start, self.breadth, layer))
-            done += len(wave)
-
-    def _link(self, layer: int, wave: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None) -> None:
-        """Links a wave with what a search found, and with each other."""
-        own = self.vectors[wave] @ self.vectors[wave].T
-        np.fill_diagonal(own, -np.inf)
-        keep = min(self.breadth, len(wave) - 1)
-        ids, sims = np.zeros((len(wave), 0), dtype=np.int64), np.zeros((len(wave), 0), dtype=np.float32)
-        if keep > 0:
-            best = np.argpartition(-own, keep - 1, axis=1)[:, :keep]
-            ids, sims = wave[best], np.take_along_axis(own, best, axis=1)
-        if found is not None:
-            ids, sims = np.concatenate((ids, found[0]), axis=1), np.concatenate((sims, found[1]), axis=1)
-        if not ids.shape[1]:
+        """Links the nodes of a layer; those of the layers above are in it too."""
+        own, keep, step = self.vectors[nodes], min(self.breadth, len(nodes) - 1), self._block()
+        if keep < 1:
             return
-        order = np.argsort(-sims, axis=1)[:, : self.breadth]
-        ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
-        ids, sims = self._diverse(ids, sims, self.links)
-        rows = np.repeat(wave, ids.shape[1])
-        to, how = ids.ravel(), sims.ravel()
-        there = to >= 0
-        rows, to, how = rows[there], to[there], how[there]
+        found = []
+        for low in range(0, len(nodes), step):
+            part = nodes[low : low + step]
+            sims = self.vectors[part] @ own.T
+            sims[np.arange(len(part)), np.arange(low, low + len(part))] = -np.inf
+            best = np.argpartition(sims, len(nodes) - keep, axis=1)[:, len(nodes) - keep :]
+            sims = np.take_along_axis(sims, best, axis=1)
+            order = np.argsort(-sims, axis=1)
+            ids, sims = self._diverse(nodes[np.take_along_axis(best, order, axis=1)], np.take_along_axis(sims, order, axis=1), self.links)
+            there = ids >= 0
+            found.append((np.repeat(part, there.sum(axis=1)), ids[there], sims[there]))
+        rows, to, how = (np.concatenate(x) for x in zip(*found))
         self._add(layer, np.concatenate((rows, to)), np.concatenate((to, rows)), np.concatenate((how, how)))
 
     def _diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,16 +159,17 @@ class Graph:
         out_ids, out_sims = np.full((b, k), -1, dtype=np.int64), np.full((b, k), -np.inf, dtype=np.float32)
         if self.entry < 0:
             return out_ids, out_sims
-        for low in range(0, b, BLOCK):
-            q = queries[low : low + BLOCK]
+        step = self._block()
+        for low in range(0, b, step):
+            q = queries[low : low + step]
             if nodes is None:
                 ids, sims = self.beam(q, self.descend(q, 0), max(breadth, k))
             else:
-                own = nodes[low : low + BLOCK]
+                own = nodes[low : low + step]
                 ids, sims = self.beam(q, np.concatenate((own[:, None], self.near[0][own]), axis=1), max(breadth, k + 1))
                 sims = np.where(ids == own[:, None], -np.inf, sims)
             order = np.argsort(-sims, axis=1)[:, :k]
             ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
-            out_ids[low : low + BLOCK, : ids.shape[1]] = np.where(sims > -np.inf, ids, -1)
-            out_sims[low : low + BLOCK, : ids.shape[1]] = sims
+            out_ids[low : low + step, : ids.shape[1]] = np.where(sims > -np.inf, ids, -1)
+            out_sims[low : low + step, : ids.shape[1]] = sims
         return out_ids, out_sims

@@ -42,6 +42,27 @@ def p1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.neighbours(_vectors(spark, sf_dir))
 
 
+@LLM.add(
+    "p1_members",
+    rf"""
+WITH raw AS (SELECT DISTINCT chunk_id, 'sig' AS vec, sig_embedding_json AS j FROM chunks_v2 UNION SELECT chunk_id, 'body', body_embedding_json FROM chunks_v2),
+numbers AS (SELECT vec, chunk_id, list_transform(string_split(regexp_replace(j, '[\[\]\s]', '', 'g'), ','), lambda x: CAST(x AS DOUBLE)) AS v FROM raw WHERE regexp_full_match(j, '\s*\[{_NUMBER}(,{_NUMBER})*\]\s*')),
+whole AS (SELECT vec, chunk_id, list_transform(v, lambda x: x / list_max(list_transform(v, lambda y: abs(y)))) AS v FROM numbers WHERE len(v) = 64 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec, chunk_id, list_transform(v, lambda x: CAST(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT)) AS v FROM whole)
+SELECT vec, chunk_id, min(chunk_id) OVER (PARTITION BY vec, v) AS class_id, count(*) OVER (PARTITION BY vec, v) AS copies FROM unit
+""",
+)
+def p1_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of equal vectors to which each chunk belongs; p1_neighbours names classes by their smallest ids."""
+    return similar.members(_vectors(spark, sf_dir)).withColumnRenamed("id", "chunk_id")
+
+
+@LLM.add("p1_found_recall")
+def p1_found_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return similar.pair_recall(rows, similar.close_pairs(rows, 0.945), 0.945)
+
+
 @LLM.add("p1_recall")
 def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)

@@ -4,6 +4,7 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codelode.llm import handwritten, mixing, similar
 from codelode.llm.hnsw import Graph
@@ -72,7 +73,14 @@ def test_close_pairs_match_brute_force(spark, clashing):
     frame = clashing(chunk_frame(spark, vectors, [("x1", "[]", ""), ("x2", None, "[1"), (None, "[" + ",".join(["1"] * 64) + "]", None), ("c00000", chunk_json(vectors[0]), None)]))
     rows = similar.vectors(frame)
     assert rows.count() == len(vectors)
-    found = {(r.a, r.b) for r in similar.close_pairs(rows, 0.945).collect()}
+    pairs = similar.close_pairs(rows, 0.945)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert {(r.a, r.b) for r in similar.close_pairs(rows, 0.945, heavy_share=1.0).collect()} == found  # no class is broadcast
+    measured = {r.kind: r.recall for r in similar.pair_recall(rows, pairs, 0.945, every=1).collect()}
+    assert measured == {"others": 1.0, "copies": 1.0}
+    assert {r.kind: r.recall for r in similar.pair_recall(rows, pairs.limit(0), 0.945, every=1).collect()} == {"others": 0.0, "copies": 0.0}
+    told = {r.id: (r.class_id, r.copies) for r in similar.members(rows).collect()}
+    assert len(told) == len(vectors) and told["c01000"] == ("c00102", 41) and told["c00005"] == ("c00005", 1)
     stored = np.array([np.frombuffer(similar.parse(chunk_json(v)), dtype=np.float32) for v in vectors])
     sims = np.round((stored @ stored.T).astype(np.float64), 6)
     np.fill_diagonal(sims, -1)
@@ -93,15 +101,44 @@ def test_shards_and_recall(spark):
     vectors = centres[rng.integers(0, 12, 4000)] + rng.normal(size=(4000, 64)).astype(np.float32) * 0.12
     rows = similar.vectors(chunk_frame(spark, vectors))
     found = similar.neighbours(rows, shard_rows=500)
-    assert similar.recall(rows, found, every=10, buckets=4).first().recall >= 0.9
+    assert similar.recall(rows, found, every=10).first().recall >= 0.95
     assert found.groupBy("id").count().where("count > 5").count() == 0
 
 
+def test_recall_of_many_cells(spark):
+    """Real vectors in about 500 cells."""
+    chunks = spark.read.parquet("/root/testdata/sf0.1/chunks_v2.parquet").select("chunk_id", "sig_embedding_json", F.lit(None).cast("string").alias("body_embedding_json"))
+    rows = similar.vectors(chunks)
+    shard_rows = rows.count() // 500
+    assert similar.recall(rows, similar.neighbours(rows, shard_rows=shard_rows)).first().recall >= 0.93
+    pairs = similar.close_pairs(rows, 0.945, shard_rows=shard_rows)
+    assert all(r.recall >= 0.99 for r in similar.pair_recall(rows, pairs, 0.945, every=5).collect())
+
+
+def test_centroids_in_two_steps_and_blocks():
+    rng = np.random.default_rng(8)
+    sample = unit(rng, 6000)
+    centroids = similar._kmeans(sample, 400)
+    assert 380 <= len(centroids) <= 420 and np.allclose(np.linalg.norm(centroids, axis=1), 1, atol=1e-4)
+    assert (similar._nearest(sample, centroids) == (sample @ centroids.T).argmax(axis=1)).all()
+    assert len(similar._kmeans(np.repeat(sample[:3], 50, axis=0), 10)) == 3
+
+
+def test_blocks_shrink_with_the_shard(monkeypatch):
+    from codelode.llm import hnsw
+
+    vectors = unit(np.random.default_rng(9), 600)
+    wide = Graph(vectors).search(vectors, 5, 24, np.arange(600))
+    monkeypatch.setattr(hnsw, "CELLS", 600 * 7)
+    narrow = Graph(vectors).search(vectors, 5, 24, np.arange(600))
+    assert (wide[0] == narrow[0]).mean() > 0.999
+
+
 def test_close_search_in_groups_of_similar_vectors():
     rng = np.random.default_rng(6)
     vectors = np.repeat(unit(rng, 6), [10, 30, 100, 300, 600, 1000], axis=0) + rng.normal(size=(2040, 64)) * 0.025
     vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-    ids, _ = Graph(vectors).search(vectors, 5, similar.CLOSE_BREADTHS[0], np.arange(len(vectors)))
+    ids, _ = Graph(vectors).search(vectors, 5, similar.BREADTHS[0], np.arange(len(vectors)))
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, truth(vectors, vectors, 5, np.arange(len(vectors))))]) >= 0.99
 
 
