@@ -13,13 +13,14 @@ import numpy as np
 LINKS = 16  # links of a node in an upper layer; twice as many in the lowest
 BLOCK = 512  # queries that are searched in lockstep, fewer in a shard of more than CELLS / BLOCK vectors
 CELLS = 1 << 22  # entries of a block's arrays over all nodes
+NARROW, NEARLY = 8, 0.2  # breadth of a first search, and how near to the asked similarity it must come
 AT_ONCE = 4  # candidates of a query that are looked up in one step
 
 
 class Graph:
     """Vectors (rows of length one) with the neighbours of each in each layer; -1 fills what is missing."""
 
-    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = 64, seed: int = 0) -> None:
+    def __init__(self, vectors: np.ndarray, links: int = LINKS, breadth: int = 48, seed: int = 0) -> None:
         self.vectors, self.links, self.breadth = np.ascontiguousarray(vectors, dtype=np.float32), links, breadth
         n = len(vectors)
         draws = np.random.default_rng(seed)
@@ -149,27 +150,41 @@ class Graph:
             ids, sims = np.take_along_axis(ids, best, axis=1), np.take_along_axis(sims, best, axis=1)
         out_ids[who, : ids.shape[1]], out_sims[who, : ids.shape[1]] = ids, sims
 
-    def search(self, queries: np.ndarray, k: int, breadth: int, nodes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, breadth: int, nodes: np.ndarray | None = None, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the k best nodes for each query, best first.
 
         If the queries are nodes of the graph (nodes tells which), the search starts at their neighbours and
-        leaves the node itself out.
+        leaves the node itself out. If only nodes of at least a similarity are asked for, a node whose nearest
+        neighbour, always one of its links, is less similar has none; other queries are searched narrowly first
+        and again only if that came as near as ``NEARLY`` to the similarity.
         """
         b = len(queries)
         out_ids, out_sims = np.full((b, k), -1, dtype=np.int64), np.full((b, k), -np.inf, dtype=np.float32)
         if self.entry < 0:
             return out_ids, out_sims
+        asked = np.arange(b)
+        if least > -1.0:
+            asked = asked[self.sims[0][nodes].max(axis=1, initial=-np.inf) >= least - 1e-6 if nodes is not None else self._nearest(queries) >= least - NEARLY]
         step = self._block()
-        for low in range(0, b, step):
-            q = queries[low : low + step]
+        for low in range(0, len(asked), step):
+            part = asked[low : low + step]
+            q = queries[part]
             if nodes is None:
                 ids, sims = self.beam(q, self.descend(q, 0), max(breadth, k))
             else:
-                own = nodes[low : low + step]
+                own = nodes[part]
                 ids, sims = self.beam(q, np.concatenate((own[:, None], self.near[0][own]), axis=1), max(breadth, k + 1))
                 sims = np.where(ids == own[:, None], -np.inf, sims)
             order = np.argsort(-sims, axis=1)[:, :k]
             ids, sims = np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1)
-            out_ids[low : low + step, : ids.shape[1]] = np.where(sims > -np.inf, ids, -1)
-            out_sims[low : low + step, : ids.shape[1]] = sims
+            out_ids[part, : ids.shape[1]] = np.where(sims > -np.inf, ids, -1)
+            out_sims[part, : ids.shape[1]] = sims
         return out_ids, out_sims
+
+    def _nearest(self, queries: np.ndarray) -> np.ndarray:
+        """The similarity of the nearest node that a narrow search finds for each query."""
+        out, step = np.full(len(queries), -np.inf, dtype=np.float32), self._block()
+        for low in range(0, len(queries), step):
+            q = queries[low : low + step]
+            out[low : low + step] = self.beam(q, self.descend(q, 0), NARROW)[1].max(axis=1)
+        return out

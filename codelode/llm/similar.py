@@ -49,7 +49,7 @@ MOST_CELLS = 16
 #: that is more than this in about one of 300 pairs that a boundary parts.
 CLOSE_MARGIN = 0.08
 #: Candidates for the links of a node.
-BREADTH = 64
+BREADTH = 48
 #: Breadths of a search: at the vector's own node, and in other shards. In a group of hundreds of vectors that are all
 #: alike, a narrow search stops before it has met the nearest of them.
 BREADTHS = (24, 64)
@@ -138,7 +138,7 @@ def fit_cells(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> Cells:
         centroids = _kmeans(sample, cells)
         distinct = np.unique(sample, axis=0)
         filled = np.bincount(_nearest(distinct, centroids), minlength=len(centroids)) * n / len(distinct)
-        out[vec] = centroids, np.maximum(1, np.ceil(filled / (3 * shard_rows))).astype(np.int64)
+        out[vec] = centroids, np.maximum(1, np.ceil(filled / (2 * shard_rows))).astype(np.int64)
     return out
 
 
@@ -187,7 +187,7 @@ def _answer(k: int, breadth: int, breadths: tuple[int, int], links: int, least:
             nonlocal graph, names
             if graph is None and names:
                 graph, names = Graph(matrix(parts), links, breadth, seed=shard), np.array(names, dtype=np.int64)
-                yield rows(names, names, graph.search(graph.vectors, k, breadths[0], np.arange(len(names))))
+                yield rows(names, names, graph.search(graph.vectors, k, breadths[0], np.arange(len(names)), least))
 
         for batch in batches:
             # the rows of a partition are in order of shard and role
@@ -201,7 +201,7 @@ def _answer(k: int, breadth: int, breadths: tuple[int, int], links: int, least:
                     continue
                 yield from finish()
                 if graph is not None:
-                    yield rows(own.no.to_numpy(), names, graph.search(matrix(list(own.v)), k, breadths[1]))
+                    yield rows(own.no.to_numpy(), names, graph.search(matrix(list(own.v)), k, breadths[1], least=least))
         yield from finish()
 
     return run
