@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Languages by file suffix.
+#: Languages by file suffix; any other file is text.
 LANGUAGES = {
-    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript",
-    ".go": "go", ".rs": "rust", ".java": "java", ".kt": "kotlin", ".c": "c", ".h": "c", ".cpp": "cpp", ".cc": "cpp", ".hpp": "cpp", ".cs": "csharp",
-    ".rb": "ruby", ".php": "php", ".swift": "swift", ".scala": "scala", ".sol": "solidity", ".sh": "bash", ".bash": "bash", ".sql": "sql",
-    ".md": "markdown", ".mdx": "markdown", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".html": "html", ".css": "css", ".scss": "scss",
+    ".py": "python", ".pyi": "python", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".go": "go", ".rs": "rust", ".java": "java", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hxx": "cpp", ".c": "c", ".h": "c", ".cs": "csharp",
+    ".rb": "ruby", ".php": "php", ".md": "markdown", ".markdown": "markdown", ".html": "html", ".htm": "html", ".sql": "sql", ".sol": "solidity",
+    ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".sh": "bash", ".bash": "bash", ".zsh": "bash",
 }
+#: White space of any kind, as a class of a regular expression.
+WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def strip(text: Column) -> Column:
+    """The text without white space at its ends, tabs and line feeds included."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
 def tokens(text: Column) -> Column:

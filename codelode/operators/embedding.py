@@ -5,6 +5,9 @@ Everything is a DataFrame expression. The hash is the first 32 bits of MD5, the
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,9 @@ DIMENSIONS = 384
 #: Fixed values of the encoder: what a field is worth, and the words that are worth more.
 FIELD_WEIGHTS = {"symbol": 3.5, "signature": 2.5, "docstring": 2.0, "body": 1.0}
 OTHER_WEIGHT = 1.5
-KEYWORDS = "function def async class interface struct enum type import from export return const let var public private get post put delete route endpoint api jwt auth token".split()
+KEYWORDS = (
+    "function", "def", "async", "class", "interface", "struct", "enum", "type", "import", "from", "export", "return", "const", "let", "var", "public", "private", "get", "post", "put", "delete", "route", "endpoint", "api", "jwt", "auth", "token",
+)
 
 
 def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
@@ -59,3 +64,44 @@ def encode(frame: DataFrame, key: str, text: str, field: str = "general", dimens
     """(key, vector array<double>): a vector for each key whose text has any word."""
     cells = bucket_weights(frame, key, text, field, dimensions).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
     return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias("vector"))
+
+
+class Encoder:
+    """What makes vectors of texts: a name for the records, and a way to encode a column."""
+
+    provider: str
+    model: str | None
+
+    def encode(self, frame: DataFrame, key: str, text: str, field: str) -> DataFrame:
+        """(key, vector array<double>) of the texts; a text without anything to encode may have no row."""
+        raise NotImplementedError
+
+
+class SubwordEncoder(Encoder):
+    """The encoder without a model, of any number of dimensions."""
+
+    provider = "subword"
+
+    def __init__(self, dimensions: int = DIMENSIONS) -> None:
+        self.model, self.dimensions = f"md5-{dimensions}", dimensions
+
+    def encode(self, frame: DataFrame, key: str, text: str, field: str) -> DataFrame:
+        return encode(frame, key, text, field, self.dimensions)
+
+
+class FunctionEncoder(Encoder):
+    """An encoder that is a function of a list of texts and a field, called in tasks with so many texts at a time."""
+
+    def __init__(self, provider: str, model: str | None, function: Callable[[list[str], str], list[list[float]]], batch: int = 64) -> None:
+        self.provider, self.model, self.function, self.batch = provider, model, function, batch
+
+    def encode(self, frame: DataFrame, key: str, text: str, field: str) -> DataFrame:
+        function, size = self.function, self.batch
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                asked = ["" if t is None else t for t in texts]
+                parts = (function(asked[i : i + size], field) for i in range(0, len(asked), size))
+                yield pd.Series([[float(x) for x in v] for part in parts for v in part], dtype=object)
+
+        return frame.select(key, F.pandas_udf(run, "array<double>")(F.col(text)).alias("vector"))

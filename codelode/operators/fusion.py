@@ -11,7 +11,7 @@ from codelode.operators.dense import dense
 from codelode.operators.graph import centrality, first_callees, first_callers
 from codelode.operators.lexical import bm25f, top
 from codelode.operators.relations import HOP_DECAY, Scope
-from codelode.session import cut
+from codelode.session import broadcast_if_small, cut
 
 #: Fixed values of the ranking.
 RANK_OFFSET, DENSE_WEIGHT, SPARSE_WEIGHT, SYMBOL_BOOST, FAN_OUT = 60, 1.0, 0.85, 0.020, 3
@@ -31,23 +31,27 @@ def fuse(dense_list: DataFrame, sparse_list: DataFrame) -> DataFrame:
     return dense_list.join(sparse_list, "chunk_id", "full_outer").withColumn("score", reciprocal("dense_rank", DENSE_WEIGHT) + reciprocal("sparse_rank", SPARSE_WEIGHT))
 
 
-def candidates(chunks: DataFrame, query: str, query_vectors: DataFrame, top_k: int, repo_ids: Sequence[str] | None = None) -> DataFrame:
-    """The fused lists of both retrievers, each FAN_OUT times as long as the result will be."""
+def candidates(by_vector: DataFrame, by_words: DataFrame, top_k: int) -> DataFrame:
+    """The fused lists of both retrievers, (chunk_id, similarity) and (chunk_id, score), each FAN_OUT times as long as the result will be."""
     n = FAN_OUT * top_k
-    by_vector = ranked(top(dense(chunks, query_vectors, repo_ids), n, "similarity"), "similarity", "dense_rank")
-    by_words = ranked(top(bm25f(chunks, query, repo_ids), n), "score", "sparse_rank")
-    return fuse(by_vector, by_words)
+    return fuse(ranked(top(by_vector, n, "similarity"), "similarity", "dense_rank"), ranked(top(by_words, n), "score", "sparse_rank"))
 
 
 def hybrid(chunks: DataFrame, edges: DataFrame, query: str, query_vectors: DataFrame, top_k: int = 8, scope: Scope | None = None) -> DataFrame:
-    """The top_k chunks for a query, with their ranks, score, relation, and first callers and callees.
+    """The top_k chunks for a query, from contents and vectors as they are in the table of chunks."""
+    own = chunks if scope is None else scope.filter(chunks)
+    return rerank(own, dense(own, query_vectors), bm25f(own, query), edges, query, top_k, scope)
+
 
-    Only the few candidates are joined with contents, edges and scope; ties go by dense rank, sparse rank and id.
+def rerank(chunks: DataFrame, by_vector: DataFrame, by_words: DataFrame, edges: DataFrame, query: str, top_k: int, scope: Scope | None = None) -> DataFrame:
+    """The top_k of what both retrievers found, with their ranks, score, relation and hops.
+
+    Only the few candidates are joined with chunks, edges and scope; ties go by dense rank, sparse rank and id.
     """
-    own = chunks if scope is None else scope.filter(chunks)
-    shown = own.select("chunk_id", "repo_id", "file_path", "symbol_name", "start_line")
+    shown = chunks.select("chunk_id", "repo_id", "file_path", "symbol_name", "start_line")
     # a few dozen rows, from which all that follows is taken; without the cut both retrievers would run once for each use
-    rows = cut(shown.join(F.broadcast(candidates(own, query, query_vectors, top_k)), "chunk_id"))
+    found = cut(candidates(by_vector, by_words, top_k))
+    rows = cut(shown.join(F.broadcast(found), "chunk_id").dropDuplicates(["chunk_id"]))
     named = rows.where("symbol_name <> ''").select(F.col("symbol_name").alias("name"), F.col("repo_id").alias("owner"))
     boosts = centrality(edges, named)
     low, asked = F.lower("symbol_name"), F.lit(query.lower())
@@ -55,7 +59,7 @@ def hybrid(chunks: DataFrame, edges: DataFrame, query: str, query_vectors: DataF
     rows = rows.join(boosts, (F.col("symbol_name") == F.col("name")) & (F.col("repo_id") == F.col("owner")), "left").drop("name", "owner")
     score = F.col("score") + F.when(hit, SYMBOL_BOOST).otherwise(0.0) + F.coalesce("centrality", F.lit(0.0))
     if scope is not None and scope.rows is not None:
-        rows = rows.join(F.broadcast(scope.rows), "repo_id", "left")
+        rows = rows.join(broadcast_if_small(scope.rows), "repo_id", "left")
         score = score * F.when(F.col("relation") == "expanded", F.pow(F.lit(HOP_DECAY), F.greatest(F.lit(1), "hops"))).otherwise(1.0)
     else:
         rows = rows.withColumns({"relation": F.lit("primary"), "direction": F.lit(None).cast("string"), "hops": F.lit(0)})

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import contains_like, fold
-from codelode.session import broadcast_if_small
 
 CENTRALITY_STEP, CENTRALITY_CAP, FOREIGN_FACTOR = 0.02, 0.08, 1.8
 GRAM = 4
@@ -50,28 +49,32 @@ def first_callees(edges: DataFrame, n: int = 3) -> DataFrame:
     return edges.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("source_repo", "source_symbol", "rank", "edge_id", "target_symbol", "target_repo", "target_file", "edge_type", "line_number")
 
 
-def _grams(text: Column) -> Column:
-    low = fold(text)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(GRAM))))
+def _grams(text: Column, n: int) -> Column:
+    """The different stretches of n letters of a text; of a shorter text none."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> DataFrame:
     """Pairs of a text and a name that it contains (see contains_like), without comparing all with all.
 
-    A name is looked up by the first GRAM letters of its longest run without wild characters, which any text
-    that contains it has too. The few names without such a run are compared with all texts; they are broadcast if
-    they are counted to be few.
+    A name is looked up by GRAM of its letters (all of them if it has a shorter run only) that stand together between
+    wild characters, as any text that contains it has them too: by those that the fewest texts have. Names
+    of nothing but wild characters fit every text that is long enough; they are looked up by the empty gram.
     """
-    parts = F.split(fold(F.col(name)), "[%_]")
-    longest = F.array_max(F.transform(parts, lambda r: F.struct(F.length(r).alias("size"), r.alias("run"))))["run"]
-    keyed = names.withColumns({"__parts": parts, "__run": longest})
-    usual = keyed.where(F.length("__run") >= GRAM).withColumn("__gram", F.substring("__run", 1, GRAM)).drop("__run")
-    grams = texts.withColumn("__gram", F.explode(_grams(F.col(text)))).withColumn("__low", fold(F.col(text)))
+    low = texts.withColumn("__low", fold(F.col(text)))
+    runs = F.split(fold(F.col(name)), "[%_]")
+    keyed = names.withColumns({"__parts": runs, "__most": F.array_max(F.transform(runs, F.length))})
+    grams = low.withColumn("__gram", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("__low"), n) for n in range(1, GRAM + 1)])))
+    counts = grams.groupBy("__gram").agg(F.count("*").alias("__n"))
+    own = F.flatten(F.transform("__parts", lambda r: F.when(F.col("__most") >= GRAM, _grams(r, GRAM)).when(F.length(r) == F.col("__most"), F.array(r)).otherwise(F.array().cast("array<string>"))))
+    # a gram that no text has is in no count: its name is in no text
+    wanted = keyed.select(F.col(name).alias("__name"), F.explode(F.array_distinct(own)).alias("__gram")).distinct()
+    found = wanted.join(counts, "__gram", "left").groupBy("__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("x")).where("x.n > 0")
+    rarest = keyed.join(found.select(F.col("__name").alias(name), F.col("x.__gram").alias("__gram")), name).drop("__most")
     # LIKE builds a pattern for each pair, so only pairs come to it that have all runs, and only names with wild characters
-    likely = grams.join(usual, "__gram").where(F.forall("__parts", lambda r: F.contains(F.col("__low"), r)))
-    found = likely.where(F.when(F.size("__parts") > 1, contains_like(F.col(text), F.col(name))).otherwise(True)).drop("__gram", "__parts", "__low")
-    short = keyed.where(F.length("__run") < GRAM).drop("__run", "__parts")
-    return found.unionByName(texts.join(broadcast_if_small(short), contains_like(F.col(text), F.col(name))).select(*found.columns))
+    likely = grams.join(rarest, "__gram").where(F.forall("__parts", lambda r: F.contains(F.col("__low"), r)))
+    return likely.where(F.when(F.size("__parts") > 1, contains_like(F.col(text), F.col(name))).otherwise(True)).drop("__gram", "__parts", "__low")
 
 
 def centrality(edges: DataFrame, owners: DataFrame) -> DataFrame:

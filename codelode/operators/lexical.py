@@ -1,15 +1,17 @@
 """Field-weighted BM25 over chunks: postings, lengths, statistics and ranking.
 
 The fields are the symbol name, the first three lines, the docstring and the whole content. All
-statistics are those of the scope. Postings of other tokens than those of the query are dropped before
-the first shuffle, so a search shuffles only what matches.
+statistics are those of the scope. A search looks at each row by itself first: how often it has each token of
+the query, and how long its fields are. Only these numbers are shuffled, and repeated rows of a chunk, which give
+equal numbers, are dropped then; contents stay where they are read. From stored postings and lengths a search
+reads nothing but those of its tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.functions.text import first_lines, tokens
@@ -43,14 +45,13 @@ def lengths(fielded: DataFrame) -> DataFrame:
     return fielded.select("chunk_id", "repo_id", *[F.size(f).alias(f"len_{f}") for f in FIELDS])
 
 
-def postings(fielded: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
-    """(token, chunk_id, repo_id, tf_symbol, tf_signature, tf_docstring, tf_body), of all tokens or only some."""
+def _tagged(tokens: Column, field: str) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
 
-    def tagged(field: str):
-        own = F.col(field) if only is None else F.filter(field, lambda t: t.isin(list(only)))
-        return F.transform(own, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
 
-    every = fielded.select("chunk_id", "repo_id", F.explode(F.concat(*map(tagged, FIELDS))).alias("x")).select("chunk_id", "repo_id", "x.token", "x.field")
+def postings(fielded: DataFrame) -> DataFrame:
+    """(token, chunk_id, repo_id, tf_symbol, tf_signature, tf_docstring, tf_body) of all tokens; chunks must be unique."""
+    every = fielded.select("chunk_id", "repo_id", F.explode(F.concat(*[_tagged(F.col(f), f) for f in FIELDS])).alias("x")).select("chunk_id", "repo_id", "x.token", "x.field")
     counts = [F.count_if(F.col("field") == f).cast("int").alias(f"tf_{f}") for f in FIELDS]
     return every.groupBy("token", "chunk_id", "repo_id").agg(*counts)
 
@@ -72,22 +73,49 @@ def query_tokens(text: str) -> list[str]:
     return list(out)
 
 
-def bm25f(chunks: DataFrame, query: str, repo_ids: Sequence[str] | None = None) -> DataFrame:
-    """(chunk_id, score, matched_terms) of each chunk of the scope that has a token of the query."""
-    wanted = query_tokens(query)
-    if not wanted:
-        return chunks.select("chunk_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_terms")).limit(0)
-    fielded = fields(in_scope(chunks, repo_ids))
-    measured = lengths(fielded)
-    matching = postings(fielded, wanted)
+def hits(fielded: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """(token, chunk_id, tf_symbol, tf_signature, tf_docstring, tf_body) of some tokens, once per chunk."""
+
+    def times(token: Column, field: str) -> Column:
+        return F.size(F.filter("__found", lambda x: (x["token"] == token) & (x["field"] == field))).alias(f"tf_{field}")
+
+    def counted(token: Column) -> Column:
+        return F.struct(token.alias("token"), *[times(token, f) for f in FIELDS])
+
+    found = fielded.select("chunk_id", F.concat(*[_tagged(F.filter(f, lambda t: t.isin(list(wanted))), f) for f in FIELDS]).alias("__found"))
+    each = found.select("chunk_id", F.explode(F.transform(F.array(*map(F.lit, wanted)), counted)).alias("x")).select("x.token", "chunk_id", *[f"x.tf_{f}" for f in FIELDS])
+    return each.where(" + ".join(f"tf_{f}" for f in FIELDS) + " > 0").dropDuplicates(["token", "chunk_id"])
+
+
+def ranked(matching: DataFrame, measured: DataFrame) -> DataFrame:
+    """(chunk_id, score, matched_terms) from the postings of the tokens of a query and the lengths of all chunks of the scope."""
     seen = matching.groupBy("token").agg(F.count("*").alias("n_token"))  # as many rows as the query has tokens
-    joined = matching.join(F.broadcast(seen), "token").join(measured.drop("repo_id"), "chunk_id").join(F.broadcast(statistics(measured)))
+    joined = matching.join(F.broadcast(seen), "token").join(measured.select("chunk_id", *[f"len_{f}" for f in FIELDS]), "chunk_id").join(F.broadcast(statistics(measured)))
     idf = F.ln(F.lit(1.0) + (F.col("n_chunks") - F.col("n_token") + 0.5) / (F.col("n_token") + 0.5))
     frequency = sum((w * F.col(f"tf_{f}") / (F.lit(1.0 - b) + b * F.col(f"len_{f}") / F.col(f"avg_{f}")) for f, (w, b, _) in FIELDS.items()), F.lit(0.0))
     scored = joined.withColumn("term_score", idf * frequency / (F.lit(K1) + frequency))
     return scored.groupBy("chunk_id").agg(F.sum("term_score").alias("score"), F.array_sort(F.collect_set("token")).alias("matched_terms"))
 
 
+def _nothing(frame: DataFrame) -> DataFrame:
+    return frame.select("chunk_id", F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("matched_terms")).limit(0)
+
+
+def bm25f(chunks: DataFrame, query: str, repo_ids: Sequence[str] | None = None) -> DataFrame:
+    """(chunk_id, score, matched_terms) of each chunk of the scope that has a token of the query."""
+    wanted = query_tokens(query)
+    if not wanted:
+        return _nothing(chunks)
+    fielded = fields(in_scope(chunks, repo_ids))
+    return ranked(hits(fielded, wanted), lengths(fielded).dropDuplicates(["chunk_id"]))
+
+
+def bm25f_stored(stored: DataFrame, measured: DataFrame, query: str) -> DataFrame:
+    """The same from stored postings and lengths (of the scope); only rows of the tokens of the query are read."""
+    wanted = query_tokens(query)
+    return ranked(stored.where(F.col("token").isin(wanted)).drop("repo_id"), measured) if wanted else _nothing(measured)
+
+
 def top(ranked: DataFrame, n: int, score: str = "score") -> DataFrame:
     """The n best rows; noise of summing in another order cannot change them, ties go by chunk_id."""
     return ranked.orderBy(F.round(score, 12).desc(), "chunk_id").limit(n)

@@ -50,19 +50,23 @@ def steps(dependencies: DataFrame, direction: str) -> DataFrame:
     return edges.where("at IS NOT NULL AND to IS NOT NULL AND at <> to").distinct()
 
 
-def reachable(starts: DataFrame, dependencies: DataFrame, direction: str, depth: int) -> DataFrame:
+def reachable(starts: DataFrame, dependencies: DataFrame, direction: str, depth: int | None = None) -> DataFrame:
     """(start, repo_id, hops): what can be reached from each set of starting points (start, repo_id), at the fewest hops.
 
-    The starting points themselves are left out. One join per hop over only what was new at the hop before.
+    The starting points themselves are left out. One join per hop over only what was new at the hop before; without
+    a depth it goes on until nothing is new.
     """
     edges = steps(dependencies, direction)
     seen = starts.select("start", "repo_id").distinct().withColumn("hops", F.lit(0))
-    frontier = seen
-    for hop in range(1, max(0, depth) + 1):
+    frontier, hop = seen, 0
+    while depth is None or hop < depth:
+        hop += 1
         new = frontier.join(edges, F.col("repo_id") == F.col("at")).select("start", F.col("to").alias("repo_id")).distinct()
         frontier = new.join(seen.select("start", "repo_id"), ["start", "repo_id"], "left_anti").withColumn("hops", F.lit(hop))
-        if hop < depth:
+        if depth is None or hop < depth:
             frontier = cut(frontier)
+            if not frontier.limit(1).count():
+                break
         seen = seen.unionByName(frontier)
     return seen.where("hops > 0")
 
@@ -84,8 +88,13 @@ def closure(dependencies: DataFrame) -> DataFrame:
 
 
 def rejected_dependencies(candidates: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(repo_id, depends_on_repo_id, reason) of candidates that are a loop or would close a cycle."""
-    reached = closure(dependencies).select(F.col("start").alias("depends_on_repo_id"), F.col("repo_id"), F.lit(True).alias("back"))
+    """(repo_id, depends_on_repo_id, reason) of candidates that are a loop or would close a cycle.
+
+    Only from what the candidates would depend on the graph is walked, step by step, until nothing new is met.
+    """
+    tried = candidates.select("repo_id", "depends_on_repo_id").distinct()
+    starts = tried.where("repo_id <> depends_on_repo_id").select(F.col("depends_on_repo_id").alias("start"), F.col("depends_on_repo_id").alias("repo_id"))
+    reached = reachable(starts, dependencies, "upstream").select(F.col("start").alias("depends_on_repo_id"), "repo_id", F.lit(True).alias("back"))
     reason = F.when(F.col("repo_id") == F.col("depends_on_repo_id"), "self").when(F.col("back"), "cycle")
     return candidates.join(reached, ["repo_id", "depends_on_repo_id"], "left").withColumn("reason", reason).where("reason IS NOT NULL").select("repo_id", "depends_on_repo_id", "reason")
 
@@ -135,3 +144,16 @@ def group_listing(groups: DataFrame, members: DataFrame) -> DataFrame:
     """(group_name, repo_ids, size): each group with its members in order, also without any."""
     own = members.where("repo_id IS NOT NULL").groupBy("group_name").agg(F.array_sort(F.collect_set("repo_id")).alias("repo_ids"))
     return groups.select("group_name").distinct().join(own, "group_name", "left").select("group_name", F.coalesce("repo_ids", F.array().cast("array<string>")).alias("repo_ids")).withColumn("size", F.size("repo_ids"))
+
+
+def summary(repositories: DataFrame, dependencies: DataFrame, members: DataFrame) -> DataFrame:
+    """(repo_id, groups, depends_on, needed_by): for each repository the names of all three, in order."""
+
+    def listed(frame: DataFrame, key: str, value: str, name: str) -> DataFrame:
+        return frame.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("repo_id")).agg(F.array_sort(F.collect_set(value)).alias(name))
+
+    out = repositories.select("repo_id").distinct()
+    for part in (listed(members, "repo_id", "group_name", "groups"), listed(dependencies, "repo_id", "depends_on_repo_id", "depends_on"), listed(dependencies.select(F.col("repo_id").alias("__by"), "depends_on_repo_id"), "depends_on_repo_id", "__by", "needed_by")):
+        out = out.join(part, "repo_id", "left")
+    none = F.array().cast("array<string>")
+    return out.select("repo_id", *[F.coalesce(c, none).alias(c) for c in ("groups", "depends_on", "needed_by")])

@@ -20,12 +20,13 @@ _COLUMNS = ("chunk_id", "repo_id", "file_path", "language", "start_line", "end_l
 
 
 def chunks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """The chunks, one row per id, with only the columns that are needed."""
+    """The chunks, one row per id, with only the columns that are needed; for whole rows, as this shuffles them."""
     return lexical.unique_chunks(table(spark, sf_dir, "chunks_v2", *(columns or _COLUMNS)))
 
 
 def _searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(spark, sf_dir, "chunk_id", "repo_id", "file_path", "start_line", "raw_content", "symbol_name", "docstring", "sig_embedding_json", "body_embedding_json")
+    """The chunks as they are stored, repeated rows too: the operators drop those when only numbers are left."""
+    return table(spark, sf_dir, "chunks_v2", "chunk_id", "repo_id", "file_path", "start_line", "raw_content", "symbol_name", "docstring", "sig_embedding_json", "body_embedding_json")
 
 
 def _asked_vectors(rows: DataFrame) -> DataFrame:
@@ -60,8 +61,8 @@ stats AS ({_STATISTICS.replace('FROM lengths', 'FROM own')}), terms AS (
 
 
 def _vector(column: str) -> str:
-    pattern = VALID.replace("'", "''")
-    return f"CASE WHEN regexp_full_match({column}, '{pattern[1:-1]}') THEN list_transform(string_split(regexp_replace({column}, '[\\[\\]\\s]', '', 'g'), ','), lambda x: CAST(x AS DOUBLE)) ELSE [] END"
+    number = r"\s*-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?\s*"
+    return f"CASE WHEN regexp_full_match({column}, '\\[{number}(,{number})*\\]') THEN list_transform(string_split(regexp_replace({column}, '[\\[\\]\\s]', '', 'g'), ','), lambda x: CAST(x AS DOUBLE)) ELSE [] END"
 
 
 def _similar(a: str, b: str) -> str:
@@ -75,29 +76,29 @@ near AS (SELECT * FROM (SELECT chunk_id, repo_id, 0.6 * {_similar('sig', 'query_
 
 @CORE.add("tokenize_counts", f"WITH {_FIELDS} SELECT chunk_id, len(body) AS n_tokens, len(list_distinct(body)) AS n_distinct FROM fields")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = chunks(spark, sf_dir, "chunk_id", "raw_content").select("chunk_id", tokens(F.col("raw_content")).alias("t"))
-    return found.select("chunk_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+    found = table(spark, sf_dir, "chunks_v2", "chunk_id", "raw_content").select("chunk_id", tokens(F.col("raw_content")).alias("t"))
+    return found.select("chunk_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct")).dropDuplicates(["chunk_id"])
 
 
 @CORE.add("field_lengths", f"WITH {_LENGTHS} SELECT * FROM lengths")
 def field_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.lengths(lexical.fields(_searchable(spark, sf_dir)))
+    return lexical.lengths(lexical.fields(_searchable(spark, sf_dir))).dropDuplicates(["chunk_id"])
 
 
 @CORE.add("postings_tf", f"WITH {_POSTINGS} SELECT * FROM postings")
 def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(lexical.fields(_searchable(spark, sf_dir)))
+    return lexical.postings(lexical.fields(chunks(spark, sf_dir, "chunk_id", "repo_id", "raw_content", "symbol_name", "docstring")))
 
 
 @CORE.add("corpus_stats", f"WITH {_LENGTHS} SELECT n_chunks, round(avg_symbol, 6) AS avg_symbol, round(avg_signature, 6) AS avg_signature, round(avg_docstring, 6) AS avg_docstring, round(avg_body, 6) AS avg_body FROM ({_STATISTICS})")
 def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = lexical.statistics(lexical.lengths(lexical.fields(_searchable(spark, sf_dir))))
+    stats = lexical.statistics(field_lengths(spark, sf_dir))
     return stats.select("n_chunks", *[F.round(f"avg_{f}", 6).alias(f"avg_{f}") for f in lexical.FIELDS])
 
 
 @CORE.add("document_frequency", f"WITH {_POSTINGS} SELECT token, count(*) AS n_chunks, count(DISTINCT repo_id) AS n_repos FROM postings GROUP BY token")
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(lexical.fields(_searchable(spark, sf_dir))).groupBy("token").agg(F.count("*").alias("n_chunks"), F.count_distinct("repo_id").alias("n_repos"))
+    return lexical.postings(lexical.fields(chunks(spark, sf_dir, "chunk_id", "repo_id", "raw_content", "symbol_name", "docstring"))).groupBy("token").agg(F.count("*").alias("n_chunks"), F.count_distinct("repo_id").alias("n_repos"))
 
 
 def _shown(found: DataFrame) -> DataFrame:
@@ -127,13 +128,13 @@ def bm25f_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add("dense_scores", f"WITH {CHUNKS}, {_DENSE} SELECT chunk_id, round(similarity, 6) AS similarity FROM near")
 def dense_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir, "chunk_id", "repo_id", "sig_embedding_json", "body_embedding_json")
+    rows = _searchable(spark, sf_dir)
     return dense.dense(rows, _asked_vectors(rows)).select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
 @CORE.add("dense_topk", f"WITH {CHUNKS}, {_DENSE} SELECT chunk_id, round(similarity, 6) AS similarity FROM near ORDER BY round(near.similarity, 12) DESC, chunk_id LIMIT {3 * TOP_K}")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir, "chunk_id", "repo_id", "sig_embedding_json", "body_embedding_json")
+    rows = _searchable(spark, sf_dir)
     return lexical.top(dense.dense(rows, _asked_vectors(rows)), 3 * TOP_K, "similarity").select("chunk_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -148,7 +149,7 @@ fused AS (SELECT chunk_id, dense_rank, sparse_rank, coalesce(1.0 / (60 + dense_r
 @CORE.add("rrf_fusion", f"WITH {_fused()} SELECT chunk_id, dense_rank, sparse_rank, round(score, 6) AS score FROM fused")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _searchable(spark, sf_dir)
-    return fusion.candidates(rows, ASKED, _asked_vectors(rows), TOP_K).withColumn("score", F.round("score", 6))
+    return fusion.candidates(dense.dense(rows, _asked_vectors(rows)), lexical.bm25f(rows, ASKED), TOP_K).withColumn("score", F.round("score", 6))
 
 
 EDGES = "edges AS (SELECT * FROM call_edges QUALIFY row_number() OVER (PARTITION BY edge_id ORDER BY indexed_at, source_repo, source_file, source_symbol, target_repo, target_file, target_symbol, edge_type, line_number) = 1)"
@@ -241,13 +242,14 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir, "chunk_id", "repo_id", "file_path", "start_line", "end_line").select("chunk_id", chunk_id().alias("derived_id"))
 
 
-def _language_case() -> str:
-    from codelode.functions.text import LANGUAGES
-
-    return "CASE lower(regexp_extract(file_path, '[^/](\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{s}' THEN '{name}'" for s, name in LANGUAGES.items()) + " ELSE 'text' END"
+_LANGUAGE = """CASE lower(regexp_extract(file_path, '[^/](\\.[^./]+)$', 1)) WHEN '.py' THEN 'python' WHEN '.pyi' THEN 'python' WHEN '.ts' THEN 'typescript' WHEN '.tsx' THEN 'typescript'
+  WHEN '.js' THEN 'javascript' WHEN '.jsx' THEN 'javascript' WHEN '.mjs' THEN 'javascript' WHEN '.cjs' THEN 'javascript' WHEN '.go' THEN 'go' WHEN '.rs' THEN 'rust' WHEN '.java' THEN 'java'
+  WHEN '.cpp' THEN 'cpp' WHEN '.cc' THEN 'cpp' WHEN '.cxx' THEN 'cpp' WHEN '.hpp' THEN 'cpp' WHEN '.hxx' THEN 'cpp' WHEN '.c' THEN 'c' WHEN '.h' THEN 'c' WHEN '.cs' THEN 'csharp' WHEN '.rb' THEN 'ruby'
+  WHEN '.php' THEN 'php' WHEN '.md' THEN 'markdown' WHEN '.markdown' THEN 'markdown' WHEN '.html' THEN 'html' WHEN '.htm' THEN 'html' WHEN '.sql' THEN 'sql' WHEN '.sol' THEN 'solidity'
+  WHEN '.json' THEN 'json' WHEN '.yaml' THEN 'yaml' WHEN '.yml' THEN 'yaml' WHEN '.toml' THEN 'toml' WHEN '.sh' THEN 'bash' WHEN '.bash' THEN 'bash' WHEN '.zsh' THEN 'bash' ELSE 'text' END"""
 
 
-@CORE.add("files_by_language", f"SELECT {_language_case()} AS language, count(*) AS n FROM (SELECT DISTINCT repo_id, file_path FROM file_hashes) GROUP BY ALL")
+@CORE.add("files_by_language", f"SELECT {_LANGUAGE} AS language, count(*) AS n FROM (SELECT DISTINCT repo_id, file_path FROM file_hashes) GROUP BY ALL")
 def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "file_hashes", "repo_id", "file_path").distinct()
     return files.groupBy(language(F.col("file_path")).alias("language")).agg(F.count("*").alias("n"))
@@ -258,6 +260,6 @@ def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {CHUNKS}, v AS (SELECT repo_id, {_vector('sig_embedding_json')} AS sig, {_vector('body_embedding_json')} AS body FROM chunks) SELECT repo_id, len(sig) AS sig_size, len(body) AS body_size, count(*) AS n FROM v GROUP BY ALL",
 )
 def vector_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(spark, sf_dir, "chunk_id", "repo_id", "sig_embedding_json", "body_embedding_json")
     sizes = [F.coalesce(F.size(vector(F.col(f"{c}_embedding_json"))), F.lit(0)).alias(f"{c}_size") for c in ("sig", "body")]
-    return rows.groupBy("repo_id", *sizes).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "chunks_v2", "chunk_id", "repo_id", "sig_embedding_json", "body_embedding_json").select("chunk_id", "repo_id", *sizes).dropDuplicates(["chunk_id"])
+    return rows.groupBy("repo_id", "sig_size", "body_size").agg(F.count("*").alias("n"))

@@ -27,8 +27,8 @@ def _quoted(values: tuple[str, ...]) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-_IGNORED_SQL = f"""WITH p AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS parts FROM file_hashes), k AS (SELECT *, parts[1] = '.github' AND len(parts) > 1 AS kept FROM p)
-SELECT file_path, (kept AND (len(parts) < 3 OR parts[2] NOT IN ({_quoted(paths.KEPT_BELOW)})))
+_IGNORED_SQL = f"""WITH p AS (SELECT DISTINCT file_path, string_split(file_path, '/') AS parts FROM file_hashes), k AS (SELECT *, parts[1] = '.github' AS kept FROM p)
+SELECT file_path, (kept AND (len(parts) < 2 OR parts[2] NOT IN ({_quoted(paths.KEPT_BELOW)})))
   OR len(list_filter(CASE WHEN kept THEN parts[2:] ELSE parts END, lambda x: x IN ({_quoted(paths.IGNORED_NAMES)}) OR (starts_with(x, '.') AND x NOT IN ('.', '..')))) > 0
   OR lower(regexp_extract(file_path, '[^/](\\.[^./]+)$', 1)) IN ({_quoted(paths.IGNORED_SUFFIXES)}) {{more}} AS ignored FROM k"""
 
@@ -38,7 +38,7 @@ def ignore_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "file_hashes", "file_path").distinct().select("file_path", paths.ignored(F.col("file_path")).alias("ignored"))
 
 
-@CORE.add("ignore_patterns", _IGNORED_SQL.format(more="OR regexp_matches(file_path, '(^|/)[^/]*\\.md$|^cmd/batch_|^(.*/)?cmd/batch_|(^|/)docs$|_generated\\.py$|^(.*/)?tests/.*\\.ts$')"))
+@CORE.add("ignore_patterns", _IGNORED_SQL.format(more="OR regexp_matches(file_path, '\\.md$|^cmd/batch_|(^|/)docs$|_generated\\.py$|^tests/.*\\.ts$')"))
 def ignore_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "file_hashes", "file_path").distinct().select("file_path", paths.ignored(F.col("file_path"), _GLOBS).alias("ignored"))
 
@@ -127,12 +127,12 @@ _LINES = f"{CHUNKS}, ln AS (SELECT repo_id, file_path, language, start_line + un
 def _definition_case(column: str) -> str:
     cases = []
     for expression, kind in code.DEFINITIONS:
-        value = f"regexp_extract(trim(line), '{expression}', 1)" if column == "name" else f"'{kind}'"
-        cases.append(f"WHEN regexp_matches(trim(line), '{expression}') THEN {value}")
+        value = f"regexp_extract(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '{expression}', 1)" if column == "name" else f"'{kind}'"
+        cases.append(f"WHEN regexp_matches(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '{expression}') THEN {value}")
     return "CASE " + " ".join(cases) + " END"
 
 
-@CORE.add("line_definitions", f"WITH {_LINES}, d AS (SELECT repo_id, file_path, {_definition_case('name')} AS name, {_definition_case('kind')} AS kind, line_number, left(trim(line), 100) AS signature FROM ln) SELECT repo_id || ':' || file_path || ':' || name AS symbol_id, * FROM d WHERE name IS NOT NULL")
+@CORE.add("line_definitions", f"WITH {_LINES}, d AS (SELECT repo_id, file_path, {_definition_case('name')} AS name, {_definition_case('kind')} AS kind, line_number, left(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), 100) AS signature FROM ln) SELECT repo_id || ':' || file_path || ':' || name AS symbol_id, * FROM d WHERE name IS NOT NULL")
 def line_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.definitions(_lines(spark, sf_dir))
 
@@ -142,7 +142,7 @@ def line_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.calls(_lines(spark, sf_dir)).groupBy(F.col("source_repo").alias("repo_id"), "target_symbol").agg(F.count("*").alias("calls"))
 
 
-@CORE.add("import_lines", f"""WITH {_LINES}, t AS (SELECT repo_id, file_path, language, line_number, trim(line) AS line FROM ln), k AS (SELECT * FROM t WHERE
+@CORE.add("import_lines", f"""WITH {_LINES}, t AS (SELECT repo_id, file_path, language, line_number, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM ln), k AS (SELECT * FROM t WHERE
   (language = 'python' AND line_number <= 60 AND (starts_with(line, 'import ') OR starts_with(line, 'from '))) OR
   (language IN ('typescript', 'javascript') AND line_number <= 60 AND (starts_with(line, 'import ') OR regexp_matches(line, 'import\\s+(?:(?:\\{{[^}}]+\\}})|(?:[\\w\\s,*]+))\\s+from\\s+[''"]([^''"]+)[''"]'))) OR
   (language = 'go' AND line_number <= 40 AND (starts_with(line, 'import ') OR starts_with(line, '"'))) OR (language IN ('rust', 'c', 'cpp') AND line_number <= 40 AND (starts_with(line, 'use ') OR starts_with(line, '#include'))))

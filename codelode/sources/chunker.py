@@ -6,11 +6,14 @@ recursive cut of sections over the limit is a small Python helper in a pandas UD
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.functions.text import chunk_id, context_header, language
+from codelode.functions.text import chunk_id, context_header, language, strip
 from codelode.operators.changes import last_wins
 from codelode.sources.lines import code_lines, import_lines
 
@@ -47,53 +50,62 @@ SEPARATORS = {
 }
 
 
+#: The line by which a chunk of a language is named, and the indent of a Python definition.
+NAMED_BY = {
+    "python": r"(?m)^\s*(?:(class)\s+([A-Za-z0-9_]+)|(?:async\s+)?(def)\s+([A-Za-z0-9_]+))",
+    "script": r"(?m)^(?:.*?(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|interface|type|enum|function)\s+([A-Za-z0-9_$]+)|.*?(?:export\s+)?(?:const|let|var)\s+([A-Za-z0-9_$]+)\s*=\s*(?:async\s*)?(?:\([^)\n]*\)|[A-Za-z0-9_$]+)\s*=>)",
+    "go": r"(?m)^\s*(?:func\s+(?:\((?:[^)]+)\)\s+)?([A-Za-z0-9_]+)|type\s+([A-Za-z0-9_]+)\s+(struct|interface))",
+    "rust": r"(?m)^\s*(?:pub(?:\([^)]+\))?\s+)?(?:async\s+)?(fn|struct|enum|trait|impl)\s+([A-Za-z0-9_]+)",
+    "markdown": r"(?m)^\s*#{1,6}\s+(.+)$",
+}
+PYTHON_INDENT = r"(?m)^([ \t]*)(?:class|(?:async\s+)?def)\s+[A-Za-z0-9_]+"
+
 _PIECES = "array<struct<piece:string,lines_before:int>>"
 
 
 def recursive_spans(text: str, separators: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Spans of the text that are mostly below the limit, cut before the strongest separator there is."""
-    out: list[tuple[int, int]] = []
-
-    def flush(run: list[tuple[int, int]]) -> None:
-        """Joins neighbouring spans as far as the limit; the next begins again with at most the overlap of the last."""
-        first = end = 0
-        for i, (low, high) in enumerate(run):
-            size = high - low
-            if i > first and run[i - 1][1] - run[first][0] + size > limit:
-                out.append((run[first][0], run[i - 1][1]))
-                while first < i and (low - run[first][0] > overlap or low - run[first][0] + size > limit):
-                    first += 1
-            end = high
-        if run:
-            out.append((run[first][0], end))
-
-    def cut(low: int, high: int, level: list[str]) -> None:
-        part = text[low:high]
-        at = next((i for i, s in enumerate(level) if not s or s in part), len(level) - 1)
-        separator, weaker = level[at], level[at + 1 :] if level[at] and level[at] in part else []
-        starts = [low]
-        if separator:
-            found = text.find(separator, low, high)
-            while found >= 0:
-                starts.append(found)
-                found = text.find(separator, found + len(separator), high)
-        else:
-            starts = list(range(low, high))
-        bounds = [(a, b) for a, b in zip(starts, [*starts[1:], high]) if b > a]
-        run: list[tuple[int, int]] = []
-        for a, b in bounds:
-            if b - a < limit:
-                run.append((a, b))
-                continue
-            flush(run)
-            run = []
-            if weaker:
-                cut(a, b, weaker)
+    """Spans of the text that are mostly below the limit, cut before the strongest separator there is.
+
+    A stretch is parted before each place of the first separator of its list that it holds. Parts of the limit or more
+    are stretches of their own, with the weaker separators only; neighbours among the others are put together.
+    """
+    done: list[tuple[int, int]] = []
+    waiting = [(0, len(text), separators, False)]  # stretches still to be parted, the next one last
+    while waiting:
+        low, high, level, whole = waiting.pop()
+        if whole:
+            done.append((low, high))
+            continue
+        used = next((i for i, s in enumerate(level) if not s or text.find(s, low, high) >= 0), len(level) - 1)
+        weaker = level[used + 1 :] if level[used] and text.find(level[used], low, high) >= 0 else []
+        parts = _parts(text, low, high, level[used])
+        later = []
+        for large, run in groupby(parts, key=lambda p: p[1] - p[0] >= limit):
+            if large:
+                later.extend((a, b, weaker, not weaker) for a, b in run)
             else:
-                out.append((a, b))
-        flush(run)
-
-    cut(0, len(text), separators)
+                later.extend((a, b, [], True) for a, b in _together(list(run), limit, overlap))
+        waiting.extend(reversed(later))
+    return done
+
+
+def _parts(text: str, low: int, high: int, separator: str) -> list[tuple[int, int]]:
+    """The stretch parted before each place of the separator; before each character for an empty one."""
+    at = [m.start() for m in re.finditer(re.escape(separator), text[low:high])] if separator else range(high - low)
+    bounds = [low, *(low + i for i in at if i), high]
+    return list(zip(bounds, bounds[1:])) if high > low else []
+
+
+def _together(run: list[tuple[int, int]], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Neighbouring parts put together up to the limit; the last ones, up to the overlap, begin the next span too."""
+    out, first = [], 0
+    for last in range(len(run)):
+        if last + 1 < len(run) and run[last + 1][1] - run[first][0] <= limit:
+            continue
+        out.append((run[first][0], run[last][1]))
+        if last + 1 < len(run):
+            end, new = run[last][1], run[last + 1][1]
+            first = next((i for i in range(first, last + 1) if end - run[i][0] <= overlap and new - run[i][0] <= limit), last + 1)
     return out
 
 
@@ -131,16 +143,12 @@ def _detected() -> tuple[Column, Column]:
     def found(pattern: str, group: int) -> Column:
         return F.regexp_extract(text, pattern, group)
 
-    python = r"(?m)^\s*(?:(class)\s+([A-Za-z0-9_]+)|(?:async\s+)?(def)\s+([A-Za-z0-9_]+))"
-    script = r"(?m)^(?:.*?(?:export\s+)?(?:default\s+)?(?:async\s+)?(class|interface|type|enum|function)\s+([A-Za-z0-9_$]+)|.*?(?:export\s+)?(?:const|let|var)\s+([A-Za-z0-9_$]+)\s*=\s*(?:async\s*)?(?:\([^)\n]*\)|[A-Za-z0-9_$]+)\s*=>)"
-    go = r"(?m)^\s*(?:func\s+(?:\((?:[^)]+)\)\s+)?([A-Za-z0-9_]+)|type\s+([A-Za-z0-9_]+)\s+(struct|interface))"
-    rust = r"(?m)^\s*(?:pub(?:\([^)]+\))?\s+)?(?:async\s+)?(fn|struct|enum|trait|impl)\s+([A-Za-z0-9_]+)"
-    heading = r"(?m)^\s*#{1,6}\s+(.+)$"
-    indented = found(r"(?m)^([ \t]*)(?:class|(?:async\s+)?def)\s+[A-Za-z0-9_]+", 1)
+    python, script, go, rust, heading = NAMED_BY.values()
+    indented = found(PYTHON_INDENT, 1)
     scripted = F.when(found(script, 1).isin("type", "enum"), "struct").when(found(script, 1) != "", found(script, 1)).when(found(script, 3) != "", "function")
     symbol = (
         F.when(name == "python", F.concat(found(python, 2), found(python, 4))).when(name.isin("typescript", "javascript"), F.concat(found(script, 2), found(script, 3)))
-        .when(name == "go", F.concat(found(go, 1), found(go, 2))).when(name == "rust", found(rust, 2)).when(name == "markdown", F.trim(found(heading, 1)))
+        .when(name == "go", F.concat(found(go, 1), found(go, 2))).when(name == "rust", found(rust, 2)).when(name == "markdown", strip(found(heading, 1)))
     )
     kind = (
         F.when((name == "python") & (found(python, 1) != ""), "class").when((name == "python") & (found(python, 3) != ""), F.when(indented.startswith("    ") | indented.startswith("\t"), "method").otherwise("function"))
@@ -160,14 +168,14 @@ def chunk_files(files: DataFrame) -> DataFrame:
     doc = F.regexp_extract("piece", r'(?s)"""(.*?)"""', 1), F.regexp_extract("piece", r"(?s)'''(.*?)'''", 1)
     rows = small.unionByName(large).select(
         "repo_id", "file_path", "language", "section_no", "piece_no", (F.col("before") + 1).alias("start_line"), (F.col("before") + 1 + lines).alias("end_line"),
-        F.regexp_replace("piece", r"^\s+|\s+$", "").alias("raw_content"), F.when(F.col("piece").rlike(r"(?s)\"\"\".*?\"\"\"|'''.*?'''"), F.trim(F.when(doc[0] != "", doc[0]).otherwise(doc[1]))).alias("docstring"),
+        strip(F.col("piece")).alias("raw_content"), F.when(F.col("piece").rlike(r"(?s)\"\"\".*?\"\"\"|'''.*?'''"), strip(F.when(doc[0] != "", doc[0]).otherwise(doc[1]))).alias("docstring"),
         F.when(F.col("piece").startswith("\n"), F.col("before") + 1).otherwise(F.col("before")).alias("seen"),
     )
     symbol, kind = _detected()
     rows = rows.withColumns({"symbol_name": symbol, "chunk_type": kind})
     # functions of Python that follow a class belong to the nearest one before
     every = code_lines(files.select("repo_id", "file_path", "content", language(F.col("file_path")).alias("language")), "content")
-    class_name = F.regexp_extract(F.trim("line"), r"^class\s+([A-Za-z0-9_]+)", 1)
+    class_name = F.regexp_extract(strip(F.col("line")), r"^class\s+([A-Za-z0-9_]+)", 1)
     classes = every.where("language = 'python'").select("repo_id", "file_path", F.col("line_number").alias("class_line"), class_name.alias("class_name")).where("class_name <> ''")
     keys = ["repo_id", "file_path", "section_no", "piece_no"]
     parents = rows.where("language = 'python' AND chunk_type = 'function'").select(*keys, "seen").join(classes, ["repo_id", "file_path"]).where("class_line <= seen")

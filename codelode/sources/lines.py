@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.functions.text import strip
+
 #: The definitions that a line can hold, by language of origin; the first that fits decides.
 DEFINITIONS = [
     (r"^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z0-9_$]+)\s*\(([^)]*)\)", "function"),
@@ -21,6 +23,7 @@ NO_CALLS = ("if", "for", "while", "switch", "catch", "return", "sizeof")
 CALL = r"([A-Za-z0-9_$]+)\s*\("
 PY_ENDPOINT = r"""@(?:app|router|api)\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']"""
 JS_ENDPOINT = r"""(?:app|router)\.(get|post|put|delete|patch)\(\s*["']([^"']+)["']"""
+SCRIPT_IMPORT = r"""import\s+(?:(?:\{[^}]+\})|(?:[\w\s,*]+))\s+from\s+['"]([^'"]+)['"]"""
 CLIENT_CALL = r"""(?:axios|fetch|apiClient|http|client)\.(?:get|post|put|delete|patch|\b)\s*\(\s*["']([^"']+)["']"""
 
 
@@ -34,7 +37,7 @@ def code_lines(files: DataFrame, content: str = "raw_content", first: Column | N
 
 def definitions(lines: DataFrame) -> DataFrame:
     """(symbol_id, repo_id, file_path, name, kind, line_number, signature) of each line that defines something."""
-    text = F.trim("line")
+    text = strip(F.col("line"))
     name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for pattern, what in reversed(DEFINITIONS):
         hit = text.rlike(pattern)
@@ -76,11 +79,11 @@ def client_calls(lines: DataFrame) -> DataFrame:
 
 def import_lines(lines: DataFrame) -> DataFrame:
     """(repo_id, file_path, imports): the first six import lines of each file, by the rules of its language."""
-    text = F.trim("line")
+    text = strip(F.col("line"))
     language, number = F.col("language"), F.col("line_number")
     fits = (
         ((language == "python") & (number <= 60) & (text.startswith("import ") | text.startswith("from ")))
-        | (language.isin("typescript", "javascript") & (number <= 60) & (text.startswith("import ") | text.rlike(r"""import\s+(?:(?:\{[^}]+\})|(?:[\w\s,*]+))\s+from\s+['"]([^'"]+)['"]""")))
+        | (language.isin("typescript", "javascript") & (number <= 60) & (text.startswith("import ") | text.rlike(SCRIPT_IMPORT)))
         | ((language == "go") & (number <= 40) & (text.startswith("import ") | text.startswith('"')))
         | (language.isin("rust", "c", "cpp") & (number <= 40) & (text.startswith("use ") | text.startswith("#include")))
     )

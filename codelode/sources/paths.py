@@ -22,24 +22,30 @@ MAX_BYTES = 1_500_000
 
 
 def pattern(globs: Sequence[str]) -> str | None:
-    """One regular expression for the patterns of an ignore file, against the path or its last part; null for none.
+    """One regular expression for the patterns of an ignore file; null for none.
 
     A trailing slash does not count, * also crosses slashes, there is no negation and no anchor.
     """
-    clean = [g.strip().rstrip("/") for g in globs if g.strip() and not g.strip().startswith(("#", "!"))]
-    if not clean:
-        return None
-    whole = [fnmatch.translate(g).removesuffix(r"\z").removesuffix(r"\Z") for g in clean]
-    return "^(?:" + "|".join(f"(?:.*/)?{w}" if not g.startswith("/") else w for g, w in zip(clean, whole)) + ")$"
+    clean = [g.strip().rstrip("/") for g in globs if g.strip() and not g.strip().startswith("#")]
+    whole = [fnmatch.translate(g).removesuffix(r"\z").removesuffix(r"\Z") for g in clean if g]
+    return "^(?:" + "|".join(whole) + ")$" if whole else None
 
 
 def ignored(path: Column, globs: Sequence[str] = ()) -> Column:
-    """Whether a path is left out of the index."""
+    """Whether a path is left out of the index; patterns are held against the whole path and against its last part."""
     parts = F.split(path, "/")
-    kept = (F.element_at(parts, 1) == KEPT_HIDDEN) & (F.size(parts) > 1)
-    outside = kept & ((F.size(parts) < 3) | ~F.get(parts, F.lit(1)).isin(*KEPT_BELOW))
-    rest = F.when(kept, F.slice(parts, 2, 1 << 30)).otherwise(parts)
+    hidden = F.element_at(parts, 1) == KEPT_HIDDEN
+    outside = hidden & ~F.coalesce(F.get(parts, F.lit(1)).isin(*KEPT_BELOW), F.lit(False))
+    rest = F.when(hidden, F.slice(parts, 2, 1 << 30)).otherwise(parts)
     named = F.exists(rest, lambda p: p.isin(*IGNORED_NAMES) | (p.startswith(".") & ~p.isin(".", "..")))
     suffix = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)).isin(*IGNORED_SUFFIXES)
-    by_file = path.rlike(pattern(globs)) if pattern(globs) else F.lit(False)
+    by_file = path.rlike(pattern(globs)) | F.element_at(parts, -1).rlike(pattern(globs)) if pattern(globs) else F.lit(False)
     return F.coalesce(outside | named | suffix | by_file, F.lit(True))
+
+
+def pruned(folder: str) -> bool:
+    """Whether nothing below a folder of the tree (its path from the root) can be indexed, so that it need not be opened."""
+    parts = folder.split("/")
+    if parts[0] == KEPT_HIDDEN:
+        return len(parts) > 1 and (parts[1] not in KEPT_BELOW or any(p in IGNORED_NAMES or p.startswith(".") for p in parts[2:]))
+    return any(p in IGNORED_NAMES or p.startswith(".") for p in parts)

@@ -17,17 +17,6 @@ def first_rows(stream: DataFrame, keys: Sequence[str], time: str, delay: str) ->
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-def windowed_counts(stream: DataFrame, time: str, by: Sequence[str], window: str, delay: str, slide: str | None = None) -> DataFrame:
-    """(start, by..., n): rows per window of time, tumbling or sliding; later rows than the delay are left out."""
-    span = F.window(time, window, slide) if slide else F.window(time, window)
-    return stream.withWatermark(time, delay).groupBy(span.alias("span"), *by).agg(F.count("*").alias("n")).select(F.col("span.start").alias("start"), *by, "n")
-
-
-def sessions(stream: DataFrame, time: str, by: Sequence[str], gap: str, delay: str) -> DataFrame:
-    """(start, end, by..., n): rows that follow each other within the gap."""
-    return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("span"), *by).agg(F.count("*").alias("n")).select(F.col("span.start").alias("start"), F.col("span.end").alias("end"), *by, "n")
-
-
 def keep_in(store: Store, name: str, stream: DataFrame, keys: Sequence[str], order: Sequence[str], checkpoint: str) -> StreamingQuery:
     """Puts each batch of a stream into a table: the last row of a key wins. A batch that is repeated changes nothing."""
 
