@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,21 +50,39 @@ def weighted_tokens(frame: DataFrame, key: str, text: str, field: str = "general
     return each.select(key, weight.alias("w"), F.explode(parts).alias("x")).select(key, F.col("x.token").alias("token"), (F.col("w") * F.col("x.share")).alias("weight"))
 
 
-def bucket_weights(frame: DataFrame, key: str, text: str, field: str = "general", dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, bucket, value): the components of the vectors that are not zero, each vector of length one."""
-    tokens = weighted_tokens(frame, key, text, field)
+def _cells(frame: DataFrame, key: str, text: str, field: str, dimensions: int) -> DataFrame:
+    """(key, cells, norm): the components that are not zero, at most as many as there are buckets, and their length."""
+    # texts are parted by key once, with a number, as they are few bytes for much work; all sums are local then
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = weighted_tokens(frame.select(key, text).repartition(tasks, key), key, text, field)
     shares = F.array(F.struct(bucket(F.col("token"), dimensions).alias("bucket"), F.lit(0.75).alias("share")), F.struct(bucket(F.concat(F.lit("rot_"), "token"), dimensions).alias("bucket"), F.lit(0.25).alias("share")))
     sums = tokens.select(key, "weight", F.explode(shares).alias("x")).groupBy(key, F.col("x.bucket").alias("bucket")).agg(F.sum(F.col("weight") * F.col("x.share")).alias("total"))
-    logs = sums.withColumn("log", F.lit(1.0) + F.ln("total"))
-    # the length comes from one more aggregate over the same keys, at most as many rows per key as there are buckets
-    norms = logs.groupBy(key).agg(F.sqrt(F.sum(F.col("log") * F.col("log"))).alias("norm"))
-    return logs.join(norms, key).select(key, "bucket", (F.col("log") / F.col("norm")).alias("value"))
+    log = F.lit(1.0) + F.ln("total")
+    return sums.groupBy(key).agg(F.collect_list(F.struct("bucket", log.alias("log"))).alias("cells"), F.sqrt(F.sum(log * log)).alias("norm"))
+
+
+def bucket_weights(frame: DataFrame, key: str, text: str, field: str = "general", dimensions: int = DIMENSIONS) -> DataFrame:
+    """(key, bucket, value): the components of the vectors that are not zero, each vector of length one."""
+    return _cells(frame, key, text, field, dimensions).select(key, "norm", F.explode("cells").alias("x")).select(key, F.col("x.bucket").alias("bucket"), (F.col("x.log") / F.col("norm")).alias("value"))
+
+
+def _dense(dimensions: int):
+    def run(buckets: pd.Series, values: pd.Series, norms: pd.Series) -> pd.Series:
+        out = []
+        for at, value, norm in zip(buckets, values, norms):
+            vector = np.zeros(dimensions)
+            vector[at] = value / norm
+            out.append(vector)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(run, "array<double>")
 
 
 def encode(frame: DataFrame, key: str, text: str, field: str = "general", dimensions: int = DIMENSIONS) -> DataFrame:
     """(key, vector array<double>): a vector for each key whose text has any word."""
-    cells = bucket_weights(frame, key, text, field, dimensions).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("cells"))
-    return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias("vector"))
+    # only putting the components in place is done in Python
+    cells = _cells(frame, key, text, field, dimensions)
+    return cells.select(key, _dense(dimensions)("cells.bucket", "cells.log", "norm").alias("vector"))
 
 
 class Encoder:

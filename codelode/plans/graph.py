@@ -39,6 +39,30 @@ def callees_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_callees(edges(spark, sf_dir))
 
 
+_ASKED_NAME, _ASKED_REPO = "emit_metric", "atlas-core"
+
+
+@CORE.add("definitions_in_repo", f"WITH {_SIMPLE_SYMBOLS}, n AS (SELECT max(name) AS name FROM latest WHERE repo_id = '{_ASKED_REPO}' AND kind = 'function') SELECT symbol_id, repo_id, l.name, kind, file_path, line_number FROM latest l JOIN n ON l.name = n.name WHERE repo_id = '{_ASKED_REPO}'")
+def definitions_in_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a repository defines the last name of its functions."""
+    own = symbols(spark, sf_dir)
+    name = own.where((F.col("repo_id") == _ASKED_REPO) & (F.col("kind") == "function")).agg(F.max("name")).first()[0]
+    return graph.definitions(own, name, _ASKED_REPO).select("symbol_id", "repo_id", "name", "kind", "file_path", "line_number")
+
+
+@CORE.add("callers_of_hot_symbol", f"WITH {EDGES} SELECT edge_id, source_repo, source_file, source_symbol, line_number FROM edges WHERE target_symbol = '{_ASKED_NAME}'")
+def callers_of_hot_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.callers(edges(spark, sf_dir), _ASKED_NAME).select("edge_id", "source_repo", "source_file", "source_symbol", "line_number")
+
+
+@CORE.add("callees_in_repo", f"WITH {EDGES}, n AS (SELECT source_symbol AS name FROM edges WHERE source_repo = '{_ASKED_REPO}' AND source_symbol IS NOT NULL GROUP BY ALL ORDER BY count(*) DESC, name LIMIT 1) SELECT edge_id, target_symbol, target_repo, target_file, line_number FROM edges JOIN n ON source_symbol = n.name WHERE source_repo = '{_ASKED_REPO}'")
+def callees_in_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the symbol that calls most in a repository calls."""
+    own = edges(spark, sf_dir)
+    most = own.where((F.col("source_repo") == _ASKED_REPO) & F.col("source_symbol").isNotNull()).groupBy("source_symbol").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_symbol").first()
+    return graph.callees(own, most.source_symbol if most else "", _ASKED_REPO).select("edge_id", "target_symbol", "target_repo", "target_file", "line_number")
+
+
 @CORE.add(
     "symbol_info",
     f"""WITH {EDGES}, {_SIMPLE_SYMBOLS},
@@ -123,14 +147,15 @@ def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.add(
     "relation_summary",
-    """SELECT r.repo_id, array_to_string(list_sort(list(DISTINCT u.depends_on_repo_id) FILTER (u.depends_on_repo_id IS NOT NULL)), ',') AS depends_on, array_to_string(list_sort(list(DISTINCT d.repo_id) FILTER (d.repo_id IS NOT NULL)), ',') AS needed_by
-FROM repositories r LEFT JOIN repo_dependencies u ON u.repo_id = r.repo_id LEFT JOIN repo_dependencies d ON d.depends_on_repo_id = r.repo_id GROUP BY r.repo_id""",
+    """WITH members AS (SELECT DISTINCT regexp_extract(repo_id, '^([^-]+)', 1) AS group_name, repo_id FROM repositories WHERE source_type <> 'git'), listed AS (SELECT r.repo_id, list_sort(list(DISTINCT m.group_name) FILTER (m.group_name IS NOT NULL)) AS g, list_sort(list(DISTINCT u.depends_on_repo_id) FILTER (u.depends_on_repo_id IS NOT NULL)) AS u, list_sort(list(DISTINCT d.repo_id) FILTER (d.repo_id IS NOT NULL)) AS d
+FROM repositories r LEFT JOIN members m ON m.repo_id = r.repo_id LEFT JOIN repo_dependencies u ON u.repo_id = r.repo_id LEFT JOIN repo_dependencies d ON d.depends_on_repo_id = r.repo_id GROUP BY r.repo_id)
+SELECT repo_id, coalesce(array_to_string(g, ','), '') AS groups, coalesce(array_to_string(u, ','), '') AS depends_on, coalesce(array_to_string(d, ','), '') AS needed_by FROM listed""",
 )
 def relation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    there = _dependencies(spark, sf_dir)
-    up = there.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_set("depends_on_repo_id")), ",").alias("depends_on"))
-    down = there.groupBy(F.col("depends_on_repo_id").alias("repo_id")).agg(F.array_join(F.array_sort(F.collect_set(there.repo_id)), ",").alias("needed_by"))
-    return _repositories(spark, sf_dir).select("repo_id").distinct().join(up, "repo_id", "left").join(down, "repo_id", "left")
+    known = table(spark, sf_dir, "repositories", "repo_id", "source_type")
+    members = known.where("source_type <> 'git'").select(F.regexp_extract("repo_id", "^([^-]+)", 1).alias("group_name"), "repo_id")
+    found = relations.summary(known, _dependencies(spark, sf_dir), members)
+    return found.select("repo_id", *[F.array_join(c, ",").alias(c) for c in ("groups", "depends_on", "needed_by")])
 
 
 @CORE.add(

@@ -214,6 +214,30 @@ def hybrid_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("related_callers", F.to_json("related_callers")).withColumn("related_callees", F.to_json("related_callees"))
 
 
+def _enriched_sql(side: str) -> str:
+    found = _hybrid().replace("ORDER BY round(total, 12)", "ORDER BY round(final.total, 12)")
+    join = "e.target_symbol = f.symbol_name" if side == "callers" else "e.source_repo = f.repo_id AND e.source_symbol = f.symbol_name"
+    head, _, tail = found.rpartition("SELECT chunk_id, repo_id, file_path, symbol_name, dense_rank")
+    return f"WITH {head}, found AS (SELECT chunk_id, repo_id, file_path, symbol_name, dense_rank{tail}) SELECT f.chunk_id, CAST(row_number() OVER (PARTITION BY f.chunk_id ORDER BY e.edge_id) AS INTEGER) AS rank, e.source_repo, e.source_file, e.source_symbol, e.target_symbol, e.edge_type, e.line_number FROM found f JOIN edges e ON {join} QUALIFY rank <= 3"
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.enrich(hybrid_search(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@CORE.add("enriched_callers", _enriched_sql("callers"))
+def enriched_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three callers of the symbol of each result of a search."""
+    rows = _enriched(spark, sf_dir).select("chunk_id", "symbol_name", F.explode("related_callers").alias("x"))
+    return rows.select("chunk_id", "x.rank", "x.source_repo", "x.source_file", "x.source_symbol", F.col("symbol_name").alias("target_symbol"), "x.edge_type", "x.line_number")
+
+
+@CORE.add("enriched_callees", _enriched_sql("callees").replace("e.source_file, ", ""))
+def enriched_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _enriched(spark, sf_dir).select("chunk_id", "repo_id", "symbol_name", F.explode("related_callees").alias("x"))
+    return rows.select("chunk_id", "x.rank", F.col("repo_id").alias("source_repo"), F.col("symbol_name").alias("source_symbol"), "x.target_symbol", "x.edge_type", "x.line_number")
+
+
 _IMPORTS = "coalesce(try_cast(try_cast(imports_json AS JSON) AS VARCHAR[]), [])"
 
 

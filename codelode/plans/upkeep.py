@@ -151,6 +151,50 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.import_lines(_lines(spark, sf_dir)).select("repo_id", "file_path", F.array_join("imports", "\n").alias("imports"))
 
 
+_DECLARED = "declared AS (SELECT DISTINCT repo_id, file_path, line_number, signature AS line FROM symbols WHERE signature IS NOT NULL)"
+_METHODS = "(get|post|put|delete|patch)\\(\\s*[\"']([^\"']+)[\"']".replace("'", "''")
+
+
+@CORE.add("endpoints", f"""WITH {_DECLARED}, m AS (SELECT repo_id, file_path, line_number, unnest(regexp_extract_all(line, '@(?:app|router|api)\\.{_METHODS}', 1)) AS method, unnest(regexp_extract_all(line, '@(?:app|router|api)\\.{_METHODS}', 2)) AS path, '@' AS mark FROM declared
+  UNION ALL SELECT repo_id, file_path, line_number, unnest(regexp_extract_all(line, '(?:app|router)\\.{_METHODS}', 1)), unnest(regexp_extract_all(line, '(?:app|router)\\.{_METHODS}', 2)), 'app.' FROM declared)
+SELECT repo_id || ':endpoint:' || upper(method) || ' ' || path AS symbol_id, repo_id, file_path, upper(method) || ' ' || path AS name, 'api_endpoint' AS kind, line_number, mark || method || '(' || chr(39) || path || chr(39) || ')' AS signature FROM m""")
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The endpoints that signatures of symbols declare; contents of chunks hold none in these tables."""
+    declared = table(spark, sf_dir, "symbols", "repo_id", "file_path", "line_number", "signature").where("signature IS NOT NULL").distinct()
+    return code.endpoints(declared.withColumnRenamed("signature", "line"))
+
+
+@CORE.add("client_calls", """WITH t AS (SELECT DISTINCT source_repo, source_file, line_number, regexp_replace(target_symbol, '^[A-Z]+ ', '') AS target FROM call_edges WHERE edge_type = 'CROSS_REPO_API' AND target_symbol IS NOT NULL)
+SELECT concat_ws(':', source_repo, source_file, line_number, 'API_CALL', target) AS edge_id, source_repo, source_file, 'line_' || line_number AS source_symbol, target AS target_symbol, 'CROSS_REPO_API' AS edge_type, line_number FROM t WHERE contains(target, '/')""")
+def client_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The routes of calls between repositories, written as lines that call them and read from those again."""
+    route = F.regexp_replace("target_symbol", "^[A-Z]+ ", "")
+    calls = table(spark, sf_dir, "call_edges", "source_repo", "source_file", "line_number", "edge_type", "target_symbol").where("edge_type = 'CROSS_REPO_API' AND target_symbol IS NOT NULL")
+    written = calls.select(F.col("source_repo").alias("repo_id"), F.col("source_file").alias("file_path"), "line_number", F.concat(F.lit("    const rows = await http.post( '"), route, F.lit("?from=here', body);")).alias("line")).distinct()
+    return code.client_calls(written)
+
+
+@CORE.add("upsert", f"""WITH {_STATES}, stored AS (SELECT repo_id, file_path, sha256, last_modified, size_bytes FROM oldest WHERE digit <> '0'), new AS (SELECT repo_id, file_path, sha256, last_modified, size_bytes FROM newest WHERE digit IN ('0', '2', '3'))
+SELECT * FROM stored s WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.repo_id = s.repo_id AND n.file_path = s.file_path) UNION ALL SELECT * FROM new""")
+def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest scan of all files but a sixteenth, into which the newest one of three sixteenths is put."""
+    files = _files(spark, sf_dir).withColumn("digit", F.substring(F.sha2(F.concat_ws("/", "repo_id", "file_path"), 256), 1, 1))
+    newest = changes.last_wins(files, ["repo_id", "file_path"], ["last_modified", "sha256", "size_bytes"])
+    oldest = files.groupBy("repo_id", "file_path", "digit").agg(F.min(F.struct("last_modified", "sha256", "size_bytes")).alias("x")).select("repo_id", "file_path", "digit", "x.*")
+    return changes.upsert(oldest.where("digit <> '0'").drop("digit"), newest.where("digit IN ('0', '2', '3')").drop("digit"), ["repo_id", "file_path"])
+
+
+@CORE.add(
+    "stale_adopted",
+    """WITH indexed AS (SELECT DISTINCT repo_id FROM chunks_v2), provenance AS (SELECT repo_id, CASE WHEN branch = 'main' THEN 'm2' ELSE 'm1' END AS model FROM repositories WHERE status <> 'error')
+SELECT repo_id FROM indexed WHERE repo_id IN (SELECT repo_id FROM provenance WHERE model <> 'm2')""",
+)
+def stale_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As stale_repos, but repositories without a record are taken over, as the model's dimension is the one given."""
+    provenance = table(spark, sf_dir, "repositories", "repo_id", "branch", "status").where("status <> 'error'").select("repo_id", F.lit("local").alias("provider"), F.when(F.col("branch") == "main", "m2").otherwise("m1").alias("model"), F.lit(64).alias("dimension"))
+    return changes.stale(table(spark, sf_dir, "chunks_v2", "repo_id"), provenance, "local", "m2", 64)
+
+
 @CORE.add("sliding_windows", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, ls, unnest(range(0, greatest(len(ls), 1), 8)) AS s FROM l)
 SELECT doc_id, s + 1 AS start_line, least(s + 12, len(ls)) AS end_line, md5(array_to_string(ls[s + 1:s + 12], chr(10))) AS digest FROM w WHERE s = 0 OR s < len(ls) - 4""")
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

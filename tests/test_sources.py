@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode.operators.embedding import FunctionEncoder, SubwordEncoder
 from codelode.operators.relations import DependencyCycle, RelationError, UnknownGroup, UnknownRepository
 from codelode.service import Engine, StaleVectors
-from codelode.sources import chunker, files, lines
+from codelode.sources import blocks, chunker, files, lines
 from codelode.sources.python_symbols import parse, python_symbols
 from codelode.sources.store import Store, payload
 from codelode.streaming import sync
@@ -114,6 +114,52 @@ def test_python_that_cannot_be_parsed(spark):
     assert {(r.source_symbol, r.target_symbol) for r in calls.collect()} == {("line_2", "go"), ("f", "g")}
 
 
+GO = "package auth\n\n// What is kept.\ntype UserAccount struct {\n" + "\ta string\n" * 4 + "}\n\ntype TokenResponse struct {\n" + "\tb string\n" * 4 + "}\n\nfunc ValidateRole(a string) bool {\n\treturn true\n}\n"
+
+
+def test_chunks_of_go(spark):
+    """A file laid out in lines as a known one has the same chunks, with the same ids, as these follow from lines only."""
+    text = GO.replace("\n\n// What is kept.\ntype", "\n\n\ntype").replace("\ta string\n" * 4, "\ta string\n" * 4)
+    out = chunker.chunk_files(spark.createDataFrame([("shared-schemas", "models.go", text)], "repo_id string, file_path string, content string")).collect()
+    found = sorted((r.start_line, r.end_line, r.symbol_name, r.chunk_type) for r in out)
+    assert [(n, k) for _, _, n, k in found] == [(None, "block"), ("UserAccount", "struct"), ("TokenResponse", "struct"), ("ValidateRole", "function")]
+    assert all(r.chunk_id == hashlib.sha256(f"shared-schemas:models.go:{r.start_line}:{r.end_line}".encode()).hexdigest()[:16] for r in out)
+    assert hashlib.sha256(b"shared-schemas:models.go:1:3").hexdigest()[:16] == "1ccf10b96926d178"
+    assert all(a[1] == b[0] for a, b in zip(found, found[1:]))  # a chunk ends in the line where the next one begins
+
+
+def blocks_of(spark, *named):
+    frame = spark.createDataFrame([("r", p, t) for p, t in named], "repo_id string, file_path string, content string")
+    return sorted(blocks.chunk_blocks(frame).collect(), key=lambda r: (r.file_path, r.start_line, r.end_line))
+
+
+def test_blocks_by_language(spark):
+    script = "import { a } from './a';\n\nexport interface Row {\n  id: string;\n}\n\nexport async function load(x) {\n  if (x) {\n    const y = 1;\n  }\n}\nconst last = 1;\n"
+    rust = "use x;\n\npub(crate) struct Row {\n    a: u8,\n}\n\nimpl Row {\n    pub fn get(&self) -> u8 {\n        self.a\n    }\n}\n"
+    python = 'import os\nfrom a import b, c\n\nclass Box:\n    """Keeps."""\n' + "    x = 1\n" * 12 + '    def put(self):\n        """Puts."""\n        def inner():\n            pass\n\nasync def run():\n    pass\n'
+    text = "intro\n\n# One\nbody\n\n#### Four #\nmore\n##### Five\n"
+    got = {}
+    for r in blocks_of(spark, ("a.ts", script), ("b.rs", rust), ("c.py", python), ("d.md", text), ("e.go", "package p\n\nfunc (s *S) Go() {\n}\n\ntype T interface {\n}\n"), ("f.py", "def broken(:\n"), ("g.json", "{}\n" * 130), ("h.ts", ""), ("i.md", "plain\n"), ("j.ts", "type A = B\n" + "x\n" * 60)):
+        got.setdefault(r.file_path, []).append((r.start_line, r.end_line, r.symbol_name, r.chunk_type, r.parent_symbol))
+    assert got["a.ts"] == [(3, 5, "Row", "interface", None), (7, 11, "load", "function", None), (12, 12, "last", "function", None)]
+    assert got["b.rs"] == [(3, 5, "Row", "struct", None), (7, 11, "Row", "struct", None)]
+    assert got["c.py"] == [(4, 14, "Box", "class", None), (18, 21, "put", "method", "Box"), (23, 24, "run", "function", None)]
+    assert got["d.md"] == [(3, 5, "One", "doc", None), (6, 8, "Four", "doc", None)]
+    assert got["e.go"] == [(3, 4, "Go", "function", "p"), (6, 7, "T", "interface", "p")]
+    assert got["f.py"] == [(1, 1, None, "block", None)] and got["g.json"] == [(1, 60, None, "block", None), (41, 100, None, "block", None), (81, 130, None, "block", None)]
+    assert "h.ts" not in got and got["i.md"] == [(1, 1, None, "block", None)] and got["j.ts"] == [(1, 40, "A", "struct", None)]
+
+
+def test_blocks_reach_and_headers(spark):
+    long = "func Long() {\n" + "\tx()\n" * 300
+    inner = blocks_of(spark, ("a.go", long), ("b.py", 'from a import b\nclass K:\n    def f(self):\n        """Does\n        it."""\n'), ("c.ts", "import x from 'y';\nfunction f() {\n}\n"))
+    assert (inner[0].start_line, inner[0].end_line) == (1, 152)
+    by = {(r.file_path, r.symbol_name): r for r in inner}
+    assert by["b.py", "f"].enriched_content.split("\n")[:4] == ["// [Context] Repository: r | File: b.py | Language: python", "// Scope: K -> f (method)", "// Top Imports: from a import b", "// Doc: Does it."]
+    assert by["b.py", "f"].imports_json == '["from a import b"]' and by["c.ts", "f"].imports_json == '["import x from \'y\';"]'
+    assert by["c.ts", "f"].chunk_id == hashlib.sha256(b"r:c.ts:2:3").hexdigest()[:16]
+
+
 def test_store(spark, tmp_path):
     store = Store(spark, str(tmp_path / "index"))
     assert store.read("repo_groups").count() == 0
