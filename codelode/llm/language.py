@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from codelode.session import spread
 
 #: Labelled documents on which the model is fitted besides the samples (taken by a hash of doc_id).
-FIT_ROWS = 20_000
+FIT_ROWS = 10_000
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4, 5)
 SMOOTHING = 0.02
@@ -59,17 +59,19 @@ NAMES = {
 }
 
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
-#: What is no running text, left to right; what can begin in a word is looked for at its start only.
+#: What is no running text, left to right; it begins at the start of a word, or with a mark.
 _NOISE = re.compile(
-    r"`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|(?:(?<!\S)|(?<=[`>\])]))\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|[@#][A-Za-z0-9_][\w-]*|\(\s*\)"
+    r"(?:(?<![A-Za-z0-9_])|(?=[`@#\[<(]))(?:`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|(?:(?<!\S)|(?<=[`>\])]))\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|[@#][A-Za-z0-9_][\w-]*|\(\s*\)"
     r"|(?<![A-Za-z0-9_])(?:^[ \t]*[a-z]+(?:\([^)\n]*\))?!?:(?=\s)|[A-Za-z0-9_]*[0-9_][A-Za-z0-9_]*|\b[a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Z][a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(\))?"
-    r"|(?:\.{0,2}/)?[A-Za-z0-9_][\w.-]*(?:/[A-Za-z0-9_][\w.-]*)+(?::\d+)?)",
+    r"|(?:\.{0,2}/)?[A-Za-z0-9_][\w.-]*(?:/[A-Za-z0-9_][\w.-]*)+(?::\d+)?))",
     re.MULTILINE,
 )
 _LOG = re.compile(r"^\s*(?:\[?\d{1,4}[-:/.]\d{1,2}[-:/.]\d{1,4}[^\n]*|\$ [^\n]*|at [\w.$]+\([^\n]*|Traceback[^\n]*|File \"[^\n]*)$")
+#: How a line of code begins, and what it ends with.
 _CODE_LINE = re.compile(
-    r"(?:[;{}]|\)\s*;?)\s*$|^\s*(?:for|if|while)\b.*\b(?:in|==|!=|<|>).*:\s*\S*\(|^\s*[\w.\[\]\"']+\s*(?::=|[-+*/]?=)(?!=)\s*\S|^\s*(?:const|let|var|return|import|from|def|func|fn|class|use|package)\s[^.]*[(={:;]|^\w+ctl\s"
+    r"\s*(?:for|if|while)\b.*\b(?:in|==|!=|<|>).*:\s*\S*\(|\s*[\w.\[\]\"']+\s*(?::=|[-+*/]?=)(?!=)\s*\S|\s*(?:const|let|var|return|import|from|def|func|fn|class|use|package)\s[^.]*[(={:;]|\w+ctl\s"
 )
+_CODE_ENDS = (";", "{", "}", ")")
 _HEADING = re.compile(r"^\s*#{1,6}\s")
 _LEAD = re.compile(r"^[\s>*+|•·-]*(?:\d+[.)]\s+)?(?:\[[ x]\]\s*)?")
 #: Where a sentence may end; after a stop and white space it does not if a small letter follows.
@@ -78,6 +80,7 @@ _BREAK = re.compile(r"([.!?…][\"')\]»”]*\s+)(?=\S)|[。！？]|\s+[/|]\s+|\
 _MAY_BE_NOISE = re.compile(r"[`@#<\[/_0-9(:]|\w\.\w|[a-z][A-Z]|www\.")
 _WIDE = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
 _LOOSE = re.compile(r"['’]{2,}|(?<![^ \n])['’]|['’](?![^ \n])")
+_SPACES = re.compile(" {2,}")
 _REPEATED = re.compile(r"([^ \n])\1{5}")
 
 
@@ -103,13 +106,10 @@ def normalize_all(texts: list[str]) -> list[str]:
     folded = "\n".join(t.replace("\n", " ") for t in texts).translate(_FOLDING)
     if "'" in folded or "’" in folded:
         folded = _LOOSE.sub(" ", folded)
-    out = []
-    for line in folded.split("\n"):
-        words = line.split()
-        if _REPEATED.search(line):
-            words = [w for w in words if len(w) < 6 or len(set(w)) > 1]
-        out.append(f" {' '.join(words)} " if words else "")
-    return out
+    lines = _SPACES.sub(" ", folded).split("\n")
+    if _REPEATED.search(folded):
+        lines = [" ".join(w for w in line.split(" ") if len(w) < 6 or len(set(w)) > 1) for line in lines]
+    return [f" {own} " if (own := line.strip(" ")) else "" for line in lines]
 
 
 def normalize(text: str) -> str:
@@ -138,7 +138,7 @@ def raw_sentences(text: str) -> list[tuple[int, int, str]]:
     at = 0
     for line in text.split("\n"):
         start, at = at, at + len(line) + 1
-        if not line or line.isspace() or _HEADING.match(line) or _LOG.match(line) or _CODE_LINE.search(line):
+        if not line or line.isspace() or _HEADING.match(line) or line.rstrip().endswith(_CODE_ENDS) or _LOG.match(line) or _CODE_LINE.match(line):
             continue
         body = _NOISE.sub(_blank, line) if _MAY_BE_NOISE.search(line) else line
         marks = _breaks(body, _LEAD.match(body).end())
