@@ -61,7 +61,7 @@ NAMES = {
 _FENCE = re.compile(r"^[ \t]*(```|~~~)[^\n]*\n.*?(?:^[ \t]*\1[^\n]*$|\Z)", re.MULTILINE | re.DOTALL)
 #: What is no running text, left to right; it begins at the start of a word, or with a mark.
 _NOISE = re.compile(
-    r"(?:(?<![A-Za-z0-9_])|(?=[`@#\[<(]))(?:`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|(?:(?<!\S)|(?<=[`>\])]))\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|[@#][A-Za-z0-9_][\w-]*|\(\s*\)"
+    r"(?:(?<![A-Za-z0-9_])|(?=[`@#\[<(]))(?=\S?[^\s`@#<\[/_0-9(:.A-Z]*[`@#<\[/_0-9(:.A-Z])(?:`[^`\n]*`|(?:https?|ftp|file)://\S+|www\.\S+|(?:(?<!\S)|(?<=[`>\])]))\S+@\S+|\[\[[^\]\n]*\]\]|<[^<>\n]{1,80}>|[@#][A-Za-z0-9_][\w-]*|\(\s*\)"
     r"|(?<![A-Za-z0-9_])(?:^[ \t]*[a-z]+(?:\([^)\n]*\))?!?:(?=\s)|[A-Za-z0-9_]*[0-9_][A-Za-z0-9_]*|\b[a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Z][a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Za-z_]+(?:\.[A-Za-z_]+)+(?:\(\))?"
     r"|(?:\.{0,2}/)?[A-Za-z0-9_][\w.-]*(?:/[A-Za-z0-9_][\w.-]*)+(?::\d+)?))",
     re.MULTILINE,
@@ -81,7 +81,7 @@ _MAY_BE_NOISE = re.compile(r"[`@#<\[/_0-9(:]|\w\.\w|[a-z][A-Z]|www\.")
 _WIDE = re.compile(r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
 _LOOSE = re.compile(r"['’]{2,}|(?<![^ \n])['’]|['’](?![^ \n])")
 _SPACES = re.compile(" {2,}")
-_REPEATED = re.compile(r"([^ \n])\1{5}")
+_REPEATED = re.compile(r"(?<![^ \n])([^ \n])\1{5,}(?![^ \n])")
 
 
 COUNTS = "lang string, bucket long, n long"
@@ -106,9 +106,7 @@ def normalize_all(texts: list[str]) -> list[str]:
     folded = "\n".join(t.replace("\n", " ") for t in texts).translate(_FOLDING)
     if "'" in folded or "’" in folded:
         folded = _LOOSE.sub(" ", folded)
-    lines = _SPACES.sub(" ", folded).split("\n")
-    if _REPEATED.search(folded):
-        lines = [" ".join(w for w in line.split(" ") if len(w) < 6 or len(set(w)) > 1) for line in lines]
+    lines = _SPACES.sub(" ", _REPEATED.sub("", folded)).split("\n")
     return [f" {own} " if (own := line.strip(" ")) else "" for line in lines]
 
 
