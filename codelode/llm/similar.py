@@ -42,7 +42,7 @@ MAX_CELLS = 8192
 #: Vectors per cell in the sample on which centroids are fitted; so it has at most MAX_CELLS * FIT_ROWS vectors (67 MB).
 FIT_ROWS = 32
 #: How much less similar than its own another centroid may be for its cell to be searched too, and in how many at most.
-MARGIN = 0.35
+MARGIN = 0.3
 MOST_CELLS = 16
 #: The same margin for partners of a similarity of 0.945 or more. Of two such vectors in different cells, one is as near
 #: to the other's centroid but for half of what their difference is worth along the line between both centroids, and
@@ -52,7 +52,7 @@ CLOSE_MARGIN = 0.08
 BREADTH = 48
 #: Breadths of a search: at the vector's own node, and in other shards. In a group of hundreds of vectors that are all
 #: alike, a narrow search stops before it has met the nearest of them.
-BREADTHS = (24, 64)
+BREADTHS = (24, 48)
 LINKS = 16
 #: Share of all rows from which a vector is a hot one, whose class is broadcast; there can be at most one through it.
 HEAVY_SHARE = 0.001
