@@ -87,13 +87,16 @@ def _verdict() -> Column:
     )
 
 
-def _with_repositories(rows: DataFrame, repositories: DataFrame) -> DataFrame:
-    """rows with known. A few repositories are broadcast; many are joined once per key, which spreads a hot repository."""
+def _with_repositories(rows: DataFrame, repositories: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """rows with known. A few repositories are broadcast; of many, those that very many rows name are, the others are shuffled."""
     known = repositories.where(F.col("repo_id").isNotNull()).select(F.col("repo_id").alias("repo"), F.lit(True).alias("known")).distinct()
     if small(known):
         return rows.join(F.broadcast(known), "repo", "left")
-    pairs = rows.select("repo", "key").distinct().join(known, "repo")
-    return rows.join(pairs, ["repo", "key"], "left")
+    named = rows.groupBy("repo").agg(F.count("*").alias("n"))
+    most = rows.count() * heavy_share
+    heavy = named.where(F.col("n") > most).select("repo").join(known, "repo", "left")  # at most 1 / heavy_share rows
+    rest = rows.join(F.broadcast(heavy.select("repo")), "repo", "left_anti").join(known, "repo", "left")
+    return rows.join(F.broadcast(heavy), "repo").unionByName(rest)
 
 
 def _with_states(rows: DataFrame, refs: DataFrame, symbols: DataFrame, repositories: DataFrame, heavy_share: float) -> DataFrame:
@@ -103,7 +106,7 @@ def _with_states(rows: DataFrame, refs: DataFrame, symbols: DataFrame, repositor
     verdicts = heavy.join(symbol_states(symbols.join(F.broadcast(ids), "symbol_id", "left_semi")), "key", "left")
     hot = rows.join(F.broadcast(verdicts), ["key", "repo"])
     rest = rows.join(F.broadcast(heavy), ["key", "repo"], "left_anti").join(symbol_states(symbols), "key", "left")
-    return _with_repositories(hot.unionByName(rest), repositories)
+    return _with_repositories(hot.unionByName(rest), repositories, heavy_share)
 
 
 def orphans(edges: DataFrame, symbols: DataFrame, repositories: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
