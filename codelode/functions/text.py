@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,24 @@ def tokens(text: Column) -> Column:
     return F.flatten(F.transform(words, parts))
 
 
+_WORD, _RUN = "[a-z0-9_]", "(?:[a-z]+|[0-9]+)"
+
+
+def token_count(low: Column) -> Column:
+    """How many tokens a text in lower case has, counted without making them: its words, and the runs of words of several."""
+    alone = f"(?<!{_WORD})_*{_RUN}_*(?!{_WORD})"
+    return F.regexp_count(low, F.lit(f"{_WORD}+")) + F.regexp_count(low, F.lit(_RUN)) - F.regexp_count(low, F.lit(alone))
+
+
+def token_frequency(low: Column, token: str) -> Column:
+    """How often a text in lower case has a token: as a word, or as a run of a word of several."""
+    found = F.regexp_count(low, F.lit(f"(?<!{_WORD}){token}(?!{_WORD})"))
+    for kind in ("[a-z]", "[0-9]"):
+        if re.fullmatch(f"{kind}+", token):
+            found = found + F.regexp_count(low, F.lit(f"(?<!{kind}){token}(?!{kind})")) - F.regexp_count(low, F.lit(f"(?<!{_WORD})_*{token}_*(?!{_WORD})"))
+    return F.when(F.contains(low, F.lit(token)), found).otherwise(0)
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, parted at line feeds."""
     return F.split(text, "\n", -1)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.functions.text import first_lines, tokens
+from codelode.functions.text import first_lines, token_count, token_frequency, tokens
 
 #: Fixed values of the ranking: weight and length normalization of each field, its default mean length, and saturation.
 FIELDS = {"symbol": (4.0, 0.5, 2.0), "signature": (2.5, 0.6, 10.0), "docstring": (2.0, 0.75, 15.0), "body": (1.0, 0.85, 50.0)}
@@ -32,26 +32,23 @@ def in_scope(frame: DataFrame, repo_ids: Sequence[str] | None, column: str = "re
 
 
 def fields(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, repo_id, symbol, signature, docstring, body): the tokens of each field."""
-    return chunks.select(
-        "chunk_id", "repo_id",
-        tokens(F.col("symbol_name")).alias("symbol"), tokens(first_lines(F.col("raw_content"))).alias("signature"),
-        tokens(F.col("docstring")).alias("docstring"), tokens(F.col("raw_content")).alias("body"),
-    )
+    """(chunk_id, repo_id, symbol, signature, docstring, body): the texts of the fields in lower case; null is empty."""
+    texts = {"symbol": F.col("symbol_name"), "signature": first_lines(F.col("raw_content")), "docstring": F.col("docstring"), "body": F.col("raw_content")}
+    return chunks.select("chunk_id", "repo_id", *[F.lower(F.coalesce(text, F.lit(""))).alias(f) for f, text in texts.items()])
 
 
 def lengths(fielded: DataFrame) -> DataFrame:
     """(chunk_id, repo_id, len_symbol, len_signature, len_docstring, len_body)."""
-    return fielded.select("chunk_id", "repo_id", *[F.size(f).alias(f"len_{f}") for f in FIELDS])
+    return fielded.select("chunk_id", "repo_id", *[token_count(F.col(f)).alias(f"len_{f}") for f in FIELDS])
 
 
-def _tagged(tokens: Column, field: str) -> Column:
-    return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
+def _tagged(field: str) -> Column:
+    return F.transform(tokens(F.col(field)), lambda t: F.struct(t.alias("token"), F.lit(field).alias("field")))
 
 
 def postings(fielded: DataFrame) -> DataFrame:
     """(token, chunk_id, repo_id, tf_symbol, tf_signature, tf_docstring, tf_body) of all tokens; chunks must be unique."""
-    every = fielded.select("chunk_id", "repo_id", F.explode(F.concat(*[_tagged(F.col(f), f) for f in FIELDS])).alias("x")).select("chunk_id", "repo_id", "x.token", "x.field")
+    every = fielded.select("chunk_id", "repo_id", F.explode(F.concat(*map(_tagged, FIELDS))).alias("x")).select("chunk_id", "repo_id", "x.token", "x.field")
     counts = [F.count_if(F.col("field") == f).cast("int").alias(f"tf_{f}") for f in FIELDS]
     return every.groupBy("token", "chunk_id", "repo_id").agg(*counts)
 
@@ -75,16 +72,9 @@ def query_tokens(text: str) -> list[str]:
 
 def hits(fielded: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """(token, chunk_id, tf_symbol, tf_signature, tf_docstring, tf_body) of some tokens, once per chunk."""
-
-    def times(token: Column, field: str) -> Column:
-        return F.size(F.filter("__found", lambda x: (x["token"] == token) & (x["field"] == field))).alias(f"tf_{field}")
-
-    def counted(token: Column) -> Column:
-        return F.struct(token.alias("token"), *[times(token, f) for f in FIELDS])
-
-    found = fielded.select("chunk_id", F.concat(*[_tagged(F.filter(f, lambda t: t.isin(list(wanted))), f) for f in FIELDS]).alias("__found"))
-    each = found.select("chunk_id", F.explode(F.transform(F.array(*map(F.lit, wanted)), counted)).alias("x")).select("x.token", "chunk_id", *[f"x.tf_{f}" for f in FIELDS])
-    return each.where(" + ".join(f"tf_{f}" for f in FIELDS) + " > 0").dropDuplicates(["token", "chunk_id"])
+    each = [F.struct(F.lit(t).alias("token"), *[token_frequency(F.col(f), t).alias(f"tf_{f}") for f in FIELDS]) for t in wanted]
+    rows = fielded.select("chunk_id", F.explode(F.array(*each)).alias("x")).select("x.token", "chunk_id", *[f"x.tf_{f}" for f in FIELDS])
+    return rows.where(" + ".join(f"tf_{f}" for f in FIELDS) + " > 0").dropDuplicates(["token", "chunk_id"])
 
 
 def ranked(matching: DataFrame, measured: DataFrame) -> DataFrame:
