@@ -6,6 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from codelode.functions.text import token_count, token_frequency, tokens
 from codelode.operators import changes, dense, embedding, fusion, graph, integrity, lexical, relations
 
 CHUNK = "chunk_id string, repo_id string, file_path string, start_line int, raw_content string, symbol_name string, docstring string, sig_embedding_json string, body_embedding_json string"
@@ -36,14 +37,28 @@ def brute_bm25f(docs, asked):
     return out
 
 
+def test_tokens_are_counted_without_making_them(spark):
+    texts = ["", "_", "__", "a", "_a_", "a1", "a1b22_", "get_user2 get USER get", "foo_bar foo _foo_ foo1 1foo xfoo", "12 a12 12b _12_ 012", "a__b a_b", "é_a aé b1é", "x-y.z"]
+    wanted = ["a", "foo", "12", "foo_bar", "get", "a1", "_", "b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    low = F.lower("t")
+    out = rows.select("t", tokens(F.col("t")).alias("made"), token_count(low).alias("n"), *[token_frequency(low, w).alias(f"f{i}") for i, w in enumerate(wanted)]).collect()
+    for r in out:
+        assert r.n == len(r.made) and [r[f"f{i}"] for i in range(len(wanted))] == [r.made.count(w) for w in wanted], r
+
+
 def test_bm25f_matches_brute_force(chunks):
-    fielded = lexical.fields(chunks).collect()
+    fielded = lexical.fields(chunks).select("chunk_id", "repo_id", *[tokens(F.col(f)).alias(f) for f in lexical.FIELDS]).collect()
     docs = {r.chunk_id: {f: getattr(r, f) for f in lexical.FIELDS} for r in fielded}
     for repos, asked in ((None, "billing"), (["b"], "billing engine third"), (None, "Billing_Engine return")):
         own = docs if repos is None else {r.chunk_id: docs[r.chunk_id] for r in fielded if r.repo_id in repos}
         expected = brute_bm25f(own, lexical.query_tokens(asked))
         got = {r.chunk_id: r.score for r in lexical.bm25f(chunks, asked, repos).collect()}
         assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+        whole = lexical.fields(lexical.in_scope(chunks, repos))
+        stored = {r.chunk_id: r.score for r in lexical.bm25f_stored(lexical.postings(whole), lexical.lengths(whole), asked).collect()}
+        twice = {r.chunk_id: r.score for r in lexical.bm25f(chunks.unionByName(chunks), asked, repos).collect()}
+        assert stored.keys() == twice.keys() == got.keys() and all(abs(got[k] - stored[k]) < 1e-12 and abs(got[k] - twice[k]) < 1e-12 for k in got)
     assert lexical.bm25f(chunks, "  ").count() == lexical.bm25f(chunks, "billing", []).count() == 0
 
 
