@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import contains_like, fold
+from codelode.session import BROADCAST_BYTES, cut, small
 
 CENTRALITY_STEP, CENTRALITY_CAP, FOREIGN_FACTOR = 0.02, 0.08, 1.8
 GRAM = 4
@@ -61,17 +62,22 @@ def containing(texts: DataFrame, text: str, names: DataFrame, name: str) -> Data
     A name is looked up by GRAM of its letters (all of them if it has a shorter run only) that stand together between
     wild characters, as any text that contains it has them too: by those that the fewest texts have. Names
     of nothing but wild characters fit every text that is long enough; they are looked up by the empty gram.
+
+    Spark takes grams to be as small as the texts they are made of, of which each has dozens, and would broadcast them
+    from the driver. So they never are; only counted names are.
     """
     low = texts.withColumn("__low", fold(F.col(text)))
     runs = F.split(fold(F.col(name)), "[%_]")
     keyed = names.withColumns({"__parts": runs, "__most": F.array_max(F.transform(runs, F.length))})
     grams = low.withColumn("__gram", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("__low"), n) for n in range(1, GRAM + 1)])))
-    counts = grams.groupBy("__gram").agg(F.count("*").alias("__n"))
+    counts = grams.groupBy("__gram").agg(F.count("*").alias("__n")).hint("merge")
     own = F.flatten(F.transform("__parts", lambda r: F.when(F.col("__most") >= GRAM, _grams(r, GRAM)).when(F.length(r) == F.col("__most"), F.array(r)).otherwise(F.array().cast("array<string>"))))
     # a gram that no text has is in no count: its name is in no text
     wanted = keyed.select(F.col(name).alias("__name"), F.explode(F.array_distinct(own)).alias("__gram")).distinct()
     found = wanted.join(counts, "__gram", "left").groupBy("__name").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__gram")).alias("x")).where("x.n > 0")
     rarest = keyed.join(found.select(F.col("__name").alias(name), F.col("x.__gram").alias("__gram")), name).drop("__most")
+    # a row of it holds its name twice
+    rarest = F.broadcast(rarest) if small(names, size=BROADCAST_BYTES // 4) else rarest.hint("merge")
     # LIKE builds a pattern for each pair, so only pairs come to it that have all runs, and only names with wild characters
     likely = grams.join(rarest, "__gram").where(F.forall("__parts", lambda r: F.contains(F.col("__low"), r)))
     return likely.where(F.when(F.size("__parts") > 1, contains_like(F.col(text), F.col(name))).otherwise(True)).drop("__gram", "__parts", "__low")
@@ -83,10 +89,10 @@ def centrality(edges: DataFrame, owners: DataFrame) -> DataFrame:
     Edges count whose target contains the name. Calls are added up per target and repository first.
     """
     calls = edges.where("target_symbol IS NOT NULL").groupBy("target_symbol", "source_repo").agg(F.count("*").alias("n"))
-    names = owners.select("name").where("name <> ''").distinct()
+    names = cut(owners.select("name").where("name <> ''").distinct())
     targets = calls.select("target_symbol").distinct()
     pairs = containing(targets, "target_symbol", names, "name")
-    per_repo = pairs.join(calls, "target_symbol").groupBy("name", "source_repo").agg(F.sum("n").alias("n"))
+    per_repo = pairs.join(calls.hint("merge"), "target_symbol").groupBy("name", "source_repo").agg(F.sum("n").alias("n"))
     usage = per_repo.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("repos"), F.min("source_repo").alias("one"))
     foreign = (F.col("repos") > 1) | (F.col("owner").isNotNull() & (F.col("one") != F.col("owner")))
     score = F.ln(F.lit(1.0) + F.col("n")) * CENTRALITY_STEP * F.when(foreign, FOREIGN_FACTOR).otherwise(1.0)

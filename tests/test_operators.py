@@ -2,12 +2,14 @@
 
 import datetime as dt
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from codelode.functions.text import token_count, token_frequency, tokens
 from codelode.operators import changes, dense, embedding, fusion, graph, integrity, lexical, relations
+from codelode.plans.catalog import QUERIES
 
 CHUNK = "chunk_id string, repo_id string, file_path string, start_line int, raw_content string, symbol_name string, docstring string, sig_embedding_json string, body_embedding_json string"
 EDGE = "edge_id string, source_repo string, source_file string, source_symbol string, target_repo string, target_file string, target_symbol string, edge_type string, line_number int"
@@ -101,6 +103,25 @@ def test_centrality(spark):
     assert got[("never", "own")] == got[("a", "own")] == got[("", "own")] == got[(None, "own")] == 0
 
 
+@pytest.mark.parametrize("query", ["enriched_callees"])
+def test_calls_and_grams_are_not_broadcast(spark, monkeypatch, capsys, query):
+    """Spark takes them to be as small as the file of edges, and the driver would have to hold them."""
+    made = graph.centrality
+    plans = []
+
+    def explained(*args):
+        found = made(*args)
+        found.explain("formatted")
+        plans.append(capsys.readouterr().out)
+        return found
+
+    monkeypatch.setattr(graph, "centrality", explained)
+    monkeypatch.setattr(fusion, "centrality", explained)
+    QUERIES[query](spark, "/root/testdata/sf0.001")
+    sent = [x for plan in plans for x in re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert sent and not any(column in x for x in sent for column in ("target_symbol#", "__low#", "__n#"))
+
+
 def test_containing_matches_brute_force(spark):
     texts = ["save_batch", "saveXbatch", "SAVE_BATCH_now", "a", "b%c", "abc", "x\\y", "longer_name_here"]
     names = ["save_batch", "a", "%", "b%c", "\\", "name", "_", "batch_", "zzz", "er_na"]
