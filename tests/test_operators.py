@@ -103,7 +103,7 @@ def test_centrality(spark):
     assert got[("never", "own")] == got[("a", "own")] == got[("", "own")] == got[(None, "own")] == 0
 
 
-@pytest.mark.parametrize("query", ["enriched_callees", "hybrid_enriched", "hybrid_search", "enriched_callers", "hybrid_hop_decay"])
+@pytest.mark.parametrize("query", ["enriched_callees", "hybrid_enriched", "hybrid_search", "enriched_callers", "hybrid_hop_decay", "symbol_centrality"])
 def test_calls_and_grams_are_not_broadcast(spark, monkeypatch, capsys, query):
     """Spark takes them to be as small as the file of edges, and the driver would have to hold them."""
     made = graph.centrality
