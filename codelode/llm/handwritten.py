@@ -3,11 +3,14 @@
 Copies are found by winnowing: every ``KGRAM`` neighbouring tokens of the normalized stream (without comments
 and imports, all strings and all numbers alike) are hashed, and the smallest hash of each window of ``WINDOW``
 is kept as a fingerprint. That single fingerprints recur says little, as usual turns of code do too; a copy
-has most of its fingerprints together in one other file. So each fingerprint names one of its files, the
-smallest by a hash; what most of the fingerprints of a file name is its candidate, and the file belongs to
-the class of the candidate if that really has ``COPIED`` of its fingerprints (an exact count). A class that
-lies in ``MIN_REPOS`` unrelated repositories holds third-party copies. Files of fewer than ``MIN_PRINTS``
-fingerprints are compared as a whole, by all their tokens; less than ``TINY`` tokens tell nothing.
+has most of its fingerprints together in one other file. Each file names a class: itself, if the others of the
+class have ``COPIED`` of its fingerprints, and all files of which it has ``COPIED``. A class that lies in
+``MIN_REPOS`` unrelated repositories holds third-party copies. Files of fewer than ``MIN_PRINTS`` fingerprints
+are compared as a whole, by all their tokens; less than ``TINY`` tokens tell nothing.
+
+All these pairs are found: files of equal fingerprints are one set, and a file that has ``COPIED`` of the
+fingerprints of a set has some of its rarest too: of so many as it may lack and n more, at least n. So only sets
+that have those in common are compared, by an exact count.
 
 A repository that depends on another one of the class has the file from there, and does not count, unless
 that one's own copy lies in a folder for code from outside.
@@ -17,13 +20,13 @@ say, are evidence too: comments of tools and of other projects, long lines witho
 left of the code when literals are taken out. Paths are judged by the JVM. Contents are judged chunk by chunk,
 so no file is ever put together, and the figures are added up.
 
-Fingerprints are added up before they are shuffled, the few that more than ``HEAVY_SHARE`` of all rows have are
-joined by broadcast; no list of files is collected, and a file has at most ``CANDIDATES`` candidates, however
-many copies there are.
+Fingerprints are added up before they are shuffled, and the few that more than ``HEAVY_SHARE`` of all rows have
+are joined by broadcast; no list of files is collected. The pairs of sets that are compared are all written,
+so very many versions of one file, each a little different, cost the square of their number.
 
 Defined results: files are those of file_hashes, once each, however many rows there are; a null path or
 repository is no file. Files without chunks are judged by their path, null contents count as empty. Empty
-tables give no rows; between candidates of equal count the smaller hash decides. Other columns are ignored.
+tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,9 +49,8 @@ COPIED = 0.8
 #: Files of fewer fingerprints are compared by all their tokens, which must be so many at least.
 MIN_PRINTS = 12
 TINY = 30
-#: Candidates of a file whose fingerprints are counted, and the share that must name one.
-CANDIDATES = 3
-NAMED_BY = 0.1
+#: Share of a file's fingerprints that are looked up besides those that a copy may lack; any finds the same copies.
+MORE = 0.1
 #: Share of all rows from which a fingerprint is joined by broadcast; there can be at most one through it.
 HEAVY_SHARE = 0.0005
 #: A line is long from so many characters on, literals not counted.
@@ -261,14 +263,33 @@ def unrelated(members: DataFrame, dependencies: DataFrame) -> DataFrame:
     return members.select("class", "repo").distinct().join(related, ["class", "repo"], "left_anti").groupBy("class").agg(F.count("*").alias("repos"))
 
 
-def _named(prints: DataFrame, heavy_share: float) -> DataFrame:
-    """(file, print, lead): prints that more than one file has, with the smallest of those files."""
-    leads = prints.groupBy("print").agg(F.min("file").alias("lead"), F.max("file").alias("last"), F.count("*").alias("n")).where("lead <> last")
+def _sets(prints: DataFrame) -> DataFrame:
+    """(file, set, prints): the smallest of the files with the same fingerprints, and how many these are."""
+    each = prints.groupBy("file").agg(F.count("*").alias("prints"), *[F.sum(F.xxhash64("print", F.lit(i)).cast("decimal(38,0)")).alias(f"hash{i}") for i in (1, 2)])
+    same = ["prints", "hash1", "hash2"]
+    return each.join(each.groupBy(*same).agg(F.min("file").alias("set")), same).select("file", "set", "prints")
+
+
+def _shared_prints(prints: DataFrame, heavy_share: float) -> DataFrame:
+    """The rows of prints that several sets have, with their number n."""
+    counts = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
     most = prints.count() * heavy_share
-    heavy = leads.where(F.col("n") > most).select("print", "lead")  # at most 1 / heavy_share rows
+    heavy = counts.where(F.col("n") > most)  # at most 1 / heavy_share rows
     hot = prints.join(F.broadcast(heavy), "print")
-    rest = prints.join(F.broadcast(heavy.select("print")), "print", "left_anti").join(leads.where(F.col("n") <= most).select("print", "lead"), "print")
-    return hot.select("file", "print", "lead").unionByName(rest.select("file", "print", "lead"))
+    rest = prints.join(F.broadcast(heavy.select("print")), "print", "left_anti").join(counts.where(F.col("n") <= most), "print")
+    return hot.unionByName(rest)
+
+
+def _rarest(prints: DataFrame, copied: float) -> DataFrame:
+    """(set, print, prints, more): of each set those of which a copy has more than ``more``, the rarest of as many as it may lack and ``more`` and one.
+
+    prints has only those that several sets have, m of each set; the others are the rarest of all, and no copy has them.
+    """
+    order = Window.partitionBy("set").orderBy("n", "print")
+    least = F.ceil(F.lit(copied) * F.col("prints"))
+    more = F.greatest(F.lit(0), F.least(F.floor(F.lit(MORE) * F.col("prints")), least - 1))
+    ranked = prints.withColumns({"rank": F.row_number().over(order) + F.col("prints") - F.col("m"), "lacking": F.col("prints") - least, "more": more})
+    return ranked.where("rank <= lacking + more + 1").select("set", "print", "prints", "more")
 
 
 def copied_files(chunks: DataFrame, dependencies: DataFrame, min_repos: int = MIN_REPOS, copied: float = COPIED, min_prints: int = MIN_PRINTS, tiny: int = TINY, heavy_share: float = HEAVY_SHARE) -> DataFrame:
@@ -276,29 +297,32 @@ def copied_files(chunks: DataFrame, dependencies: DataFrame, min_repos: int = MI
     code = chunks.where("raw_content IS NOT NULL AND repo_id IS NOT NULL AND file_path IS NOT NULL").where(~F.coalesce(F.col("language").isin(*NO_CODE), F.lit(False)))
     code = code.select(F.xxhash64("repo_id").alias("repo"), _outside().alias("outside"), file_key().alias("file"), F.xxhash64("chunk_id").alias("chunk"), "raw_content")
     rows = cut(spread(code).mapInPandas(_prints, _PRINTS).distinct())  # repeated rows of a chunk give equal ones
-    prints = rows.where("print IS NOT NULL").select("file", "print")
-    sizes = prints.groupBy("file").agg(F.count("*").alias("prints"))
-    order = Window.partitionBy("file").orderBy(F.desc("n"), "lead")
-    votes = _named(prints, heavy_share).groupBy("file", "lead").agg(F.count("*").alias("n")).where("file <> lead")
-    large = sizes.where(F.col("prints") >= min_prints)
-    asked = votes.join(large, "file").where(F.col("n") >= NAMED_BY * F.col("prints")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES).select("file", "lead", "prints")
-    # an exact count of what both files have; the key holds the fingerprint, so a file with very many copies is spread
-    common = prints.join(asked, "file").join(prints.select(F.col("file").alias("lead"), "print"), ["lead", "print"])
-    shared = common.groupBy("file", "lead").agg(F.count("*").alias("n"), F.first("prints").alias("prints")).where(F.col("n") >= copied * F.col("prints")).select("file", "lead")
-    shared = cut(shared)
-    # the file that names a class is in it if most of its own fingerprints are in the others
-    back = prints.select(F.col("file").alias("lead"), "print").join(shared.select("lead").distinct(), "lead", "left_semi")
-    met = common.join(shared, ["file", "lead"], "left_semi").select("lead", "print").distinct().withColumn("met", F.lit(1))
-    leads = back.join(met, ["lead", "print"], "left").groupBy("lead").agg(F.count("*").alias("n"), F.count("met").alias("met")).where(F.col("met") >= copied * F.col("n"))
-    classes = shared.unionByName(leads.select(F.col("lead").alias("file"), "lead")).select("file", F.hex("lead").alias("class"))
+    sets = cut(_sets(rows.where("print IS NOT NULL").select("file", "print")))
+    firsts = sets.where("file = set").select("set", "file", "prints")
+    prints = rows.where("print IS NOT NULL").select("file", "print").join(firsts, "file").select("set", "print", "prints")
+    shared = cut(_shared_prints(prints, heavy_share).withColumn("m", F.count("*").over(Window.partitionBy("set"))))
+    large = shared.where((F.col("prints") >= min_prints) & (F.col("m") >= copied * F.col("prints")))
+    leads = shared.select(F.col("set").alias("lead"), "print")
+    near = _rarest(large, copied).join(shared.select(F.col("set").alias("lead"), "print", "m"), "print").where((F.col("set") != F.col("lead")) & (F.col("m") >= copied * F.col("prints")))
+    asked = cut(near.groupBy("set", "lead").agg(F.count("*").alias("n"), F.first("more").alias("more")).where("n > more").select("set", "lead"))
+    # an exact count of what both sets have; the key holds the fingerprint, so a set with very many copies is spread
+    common = large.select("set", "print", "prints").join(asked, "set").join(leads, ["lead", "print"])
+    alike = cut(common.groupBy("set", "lead").agg(F.count("*").alias("n"), F.first("prints").alias("prints")).where(F.col("n") >= copied * F.col("prints")).select("set", "lead"))
+    # the set that names a class is in it if several files have it, or most of its own fingerprints are in the others
+    several = sets.where("file <> set").where(F.col("prints") >= min_prints).select("set", F.col("set").alias("lead")).distinct()
+    met = large.select("set", "print").join(alike, "set").select(F.col("lead").alias("set"), "print").distinct()
+    met = shared.join(met, ["set", "print"], "left_semi").groupBy("set").agg(F.count("*").alias("n"), F.first("prints").alias("prints"))
+    met = met.where(F.col("n") >= copied * F.col("prints")).select("set", F.col("set").alias("lead"))
+    classes = alike.unionByName(several).unionByName(met).distinct().select("set", F.hex("lead").alias("class"))
+    owners = rows.where("print IS NULL").select("file", "repo", "outside").distinct()
+    members = classes.join(sets.join(owners, "file").select("set", "repo", "outside").distinct(), "set").withColumn("small", F.lit(False))
     # small files: all tokens of all chunks, in any order of the chunks
     whole = rows.where("print IS NULL").groupBy("file").agg(F.sum(F.col("stream").cast("decimal(38,0)")).alias("stream"), F.sum("tokens").alias("tokens"), F.count("*").alias("chunks"))
-    few = whole.join(large, "file", "left_anti").where(F.col("tokens") >= tiny).select("file", F.concat_ws("-", "stream", "tokens", "chunks").alias("class"))
-    every = classes.unionByName(few)
-    owners = rows.where("print IS NULL").select("file", "repo", "outside").distinct()
-    members = cut(every.join(owners, "file"))
+    few = whole.join(sets.where(F.col("prints") >= min_prints), "file", "left_anti").where(F.col("tokens") >= tiny).select(F.col("file").alias("set"), F.concat_ws("-", "stream", "tokens", "chunks").alias("class"))
+    members = cut(members.unionByName(few.join(owners.withColumnRenamed("file", "set"), "set").withColumn("small", F.lit(True))))
     enough = unrelated(members, dependencies).where(F.col("repos") >= min_repos)
-    return members.join(enough, "class", "left_semi").select("file").distinct()
+    found = members.join(enough, "class", "left_semi")
+    return sets.join(found.where("NOT small"), "set", "left_semi").select("file").unionByName(found.where("small").select(F.col("set").alias("file"))).distinct()
 
 
 def file_key() -> Column:

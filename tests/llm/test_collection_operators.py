@@ -231,6 +231,18 @@ def test_copies_in_unrelated_repositories(spark, heavy_share):
     assert _copies(spark, rows, [(f"s{i}", "s0") for i in range(1, 5)], heavy_share=heavy_share) == expected
 
 
+def test_a_copy_is_found_among_any_number_of_partners(spark):
+    """Each twelfth of the copies lies in a bundle of its own too, whose hash is smaller than those of the copies."""
+    import hashlib
+
+    hashed = lambda path: sorted((f"r{i}" for i in range(60)), key=lambda r: hashlib.md5(f"{r}\n{path}".encode()).digest())
+    copies = hashed("lib/helper.py")[-3:]
+    parts = [source(500 + i, 20) for i in range(12)]
+    rows = [(r, "lib/helper.py", "\n".join(parts) + f"\nx{i} = {i}\n") for i, r in enumerate(copies)]
+    rows += [(r, "bundle.py", part + "\n" + source(600 + i, 200)) for i, (r, part) in enumerate(zip(hashed("bundle.py"), parts))]
+    assert _copies(spark, rows) == {(r, "lib/helper.py") for r in copies}
+
+
 def test_small_copies_are_compared_as_a_whole(spark):
     small = "def f(alpha, beta):\n    assert beta in alpha, alpha\n    gamma = alpha[beta] + 1\n    return [gamma, alpha, beta, f(gamma, 2)]\n"
     rows = [(f"r{i}", "a.py", small.replace("1", str(i))) for i in range(3)] + [("r4", "b.py", small + "x = 1\n")] + [(f"r{i}", "c.py", "x = 1\n") for i in range(9)]
