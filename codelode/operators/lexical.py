@@ -78,9 +78,12 @@ def hits(fielded: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def ranked(matching: DataFrame, measured: DataFrame) -> DataFrame:
-    """(chunk_id, score, matched_terms) from the postings of the tokens of a query and the lengths of all chunks of the scope."""
+    """(chunk_id, score, matched_terms) from the postings of the tokens of a query and the lengths of all chunks of the scope.
+
+    Both have a row for each chunk, and Spark would broadcast either by its compressed size; so they are merged.
+    """
     seen = matching.groupBy("token").agg(F.count("*").alias("n_token"))  # as many rows as the query has tokens
-    joined = matching.join(F.broadcast(seen), "token").join(measured.select("chunk_id", *[f"len_{f}" for f in FIELDS]), "chunk_id").join(F.broadcast(statistics(measured)))
+    joined = matching.join(F.broadcast(seen), "token").join(measured.select("chunk_id", *[f"len_{f}" for f in FIELDS]).hint("merge"), "chunk_id").join(F.broadcast(statistics(measured)))
     idf = F.ln(F.lit(1.0) + (F.col("n_chunks") - F.col("n_token") + 0.5) / (F.col("n_token") + 0.5))
     frequency = sum((w * F.col(f"tf_{f}") / (F.lit(1.0 - b) + b * F.col(f"len_{f}") / F.col(f"avg_{f}")) for f, (w, b, _) in FIELDS.items()), F.lit(0.0))
     scored = joined.withColumn("term_score", idf * frequency / (F.lit(K1) + frequency))

@@ -122,6 +122,24 @@ def test_calls_and_grams_are_not_broadcast(spark, monkeypatch, capsys, query):
     assert sent and not any(column in x for x in sent for column in ("target_symbol#", "__low#", "__n#"))
 
 
+@pytest.mark.parametrize("query", ["hybrid_enriched"])
+def test_hits_and_lengths_are_not_broadcast(spark, monkeypatch, capsys, query):
+    """They have a row for each chunk; Spark goes by their compressed size, and the driver would have to hold them."""
+    made = lexical.ranked
+    plans = []
+
+    def explained(*args):
+        found = made(*args)
+        found.explain("formatted")
+        plans.append(capsys.readouterr().out)
+        return found
+
+    monkeypatch.setattr(lexical, "ranked", explained)
+    QUERIES[query](spark, "/root/testdata/sf0.001")
+    sent = [x for plan in plans for x in re.findall(r"BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan)]
+    assert sent and not any("chunk_id#" in x for x in sent)
+
+
 def test_containing_matches_brute_force(spark):
     texts = ["save_batch", "saveXbatch", "SAVE_BATCH_now", "a", "b%c", "abc", "x\\y", "longer_name_here"]
     names = ["save_batch", "a", "%", "b%c", "\\", "name", "_", "batch_", "zzz", "er_na"]
