@@ -122,7 +122,7 @@ def test_calls_and_grams_are_not_broadcast(spark, monkeypatch, capsys, query):
     assert sent and not any(column in x for x in sent for column in ("target_symbol#", "__low#", "__n#"))
 
 
-@pytest.mark.parametrize("query", ["hybrid_enriched", "hybrid_search", "enriched_callers"])
+@pytest.mark.parametrize("query", ["hybrid_enriched", "hybrid_search", "enriched_callers", "hybrid_hop_decay"])
 def test_hits_and_lengths_are_not_broadcast(spark, monkeypatch, capsys, query):
     """They have a row for each chunk; Spark goes by their compressed size, and the driver would have to hold them."""
     made = lexical.ranked
