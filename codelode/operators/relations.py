@@ -119,7 +119,8 @@ def resolve_scope(repositories: DataFrame, dependencies: DataFrame, members: Dat
         found = reachable(primary.withColumn("start", F.lit("all")), dependencies, expand, depth)
         found = found.join(repositories.select("repo_id"), "repo_id", "left_semi")
         rows = rows.unionByName(found.select("repo_id", F.lit("expanded").alias("relation"), F.lit(expand).alias("direction"), "hops"))
-    return Scope(rows)
+    # a row per repository, taken by each step of a search; without the cut each would resolve it, and the driver broadcast it, anew
+    return Scope(cut(rows))
 
 
 def resolve_aliases(inputs: DataFrame, repositories: DataFrame) -> DataFrame:

@@ -202,6 +202,13 @@ def test_scopes(catalog, asked, primary, expanded):
     assert all(r.direction == asked["expand"] for r in rows if r.relation == "expanded")
 
 
+def test_scope_is_resolved_once(catalog, capsys):
+    """A search takes it at every step; unresolved, each of them would join, and broadcast from the driver, anew."""
+    relations.resolve_scope(*catalog, repo_ids=["service-a"], expand="both").rows.explain()
+    plan = capsys.readouterr().out
+    assert "Scan" in plan and "Join" not in plan and "Exchange" not in plan
+
+
 def test_scope_without_limits(catalog):
     assert relations.resolve_scope(*catalog, expand="both").unscoped
     with pytest.raises(relations.UnknownGroup):
